@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brackwater.llm import toxicity
+from brackwater.llm import linededup, minhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": minhash.query,
     "op3_toxicity": toxicity.query,
+    "op8_line_dedup": linededup.query,
 }
 ORACLE_SQL: dict[str, str] = {}
