@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brackwater.llm import decontaminate, linededup, minhash, toxicity
+from brackwater.llm import decontaminate, linededup, minhash, pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": minhash.query,
     "op3_toxicity": toxicity.query,
+    "op5_sentencepiece": pieces.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_line_dedup": linededup.query,
 }
