@@ -1,69 +1,128 @@
-"""From the buckets of a locality-sensitive hash to groups, without comparing all of a bucket.
+"""From the buckets of a locality-sensitive hash to the pairs that are worth verifying.
 
 A bucket of thousands of copies has millions of pairs, of which a few thousand settle
-the group. So each round compares the members of a bucket with one of them only,
-another in every round, and drops buckets that have become one group. What is left
-over is compared pair by pair, so that no pair of a bucket is given up.
+the group. So a pair is left out where both of its members are surely copies of one
+leader of the bucket; every other pair that may hold is given. Buckets come to a task
+whole, sorted, and pairs are judged by arrays, never one at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+import numpy as np
+import pyarrow as pa
 
-from brackwater.llm.components import connected
-from brackwater.llm.scratch import Scratch
+SMALL = 48
+CHUNK = 1 << 16
+Judge = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-ROUNDS = 6
-PAIRS_PER_ROW = 2
 
+def _fan(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, value): for each k the many[k] numbers from first[k] on."""
+    owner = np.repeat(np.arange(len(many)), many)
+    return owner, np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
-def close(near: DataFrame, allowed: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """(node, component) of the nodes that verify() ties to another.
 
-    near has distinct (key, node) rows with what allowed() reads, and only keys of two
-    nodes at least. allowed(x, y) says whether rows with these column prefixes may pair
-    at all. verify() takes distinct pairs (a, b), a < b, and gives those that hold.
+def small_pairs(starts: np.ndarray, sizes: np.ndarray, judge: Judge) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of buckets of few rows, all at once."""
+    cost = np.cumsum(sizes * (sizes - 1) // 2)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + CHUNK, "right")))
+        of, rows = _fan(starts[a:b], sizes[a:b])
+        end = (starts[a:b] + sizes[a:b])[of]
+        k, j = _fan(rows + 1, end - rows - 1)
+        i = rows[k]
+        leads = i == starts[a:b][of[k]]
+        may, sure = judge(i, j)
+        tied = np.zeros(int(rows[-1]) + 1 - int(rows[0]), bool)
+        tied[j[leads & sure] - rows[0]] = True
+        keep = may & (leads | ~(tied[i - rows[0]] & tied[j - rows[0]]))
+        yield i[keep], j[keep]
+        a = b
+
+
+def large_pairs(start: int, size: int, judge: Judge) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of one bucket: leaders and who is surely tied to them, then the pairs across what they tie."""
+    left = np.arange(start, start + size)
+    units, singles = [], []
+    poor = 0
+    while len(left) and poor < 64:  # when leaders tie few, what is left is taken one by one
+        leader, rest = left[0], left[1:]
+        tied = []
+        for a in range(0, len(rest), CHUNK):
+            part = rest[a : a + CHUNK]
+            may, sure = judge(np.full(len(part), leader), part)
+            yield np.full(int((sure & may).sum()), leader), part[sure & may]
+            tied.append(sure)
+        sure = np.concatenate(tied) if tied else np.zeros(0, bool)
+        poor = 0 if sure.sum() * 100 > len(rest) else poor + 1
+        if sure.any():
+            units.append(np.concatenate([[leader], rest[sure]]))
+        else:
+            singles.append(leader)
+        left = rest[~sure]
+    alone = np.concatenate([np.array(singles, np.int64), left])
+    rows = np.concatenate([*units, alone]) if units else alone
+    bounds = np.cumsum([len(u) for u in units]).astype(np.int64)
+    # row r meets all rows behind its unit
+    behind = np.concatenate([np.repeat(bounds, [len(u) for u in units]) if units else np.zeros(0, np.int64), len(rows) - len(alone) + np.arange(1, len(alone) + 1)])
+    many = len(rows) - behind
+    total = np.cumsum(many)
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK, "right")))
+        k, at = _fan(behind[a:b], many[a:b])
+        for c in range(0, len(k), CHUNK):
+            i, j = rows[a + k[c : c + CHUNK]], rows[at[c : c + CHUNK]]
+            may, _ = judge(np.minimum(i, j), np.maximum(i, j))
+            yield i[may], j[may]
+        a = b
+
+
+def bucket_pairs(batches: Iterator[pa.RecordBatch], judge_of: Callable[[pa.RecordBatch], Judge]) -> Iterator[pa.RecordBatch]:
+    """(a, b), a < b, of rows (key, node, ...) sorted by key: the pairs of nodes in one bucket that may hold.
+
+    judge_of() gives, for some rows, the function that says of row pairs which may hold
+    and which surely do. A pair that several buckets have comes as often.
     """
-    own = near.columns
-    bucket = Window.partitionBy("key")
-    mixed = near.withColumn("component", F.col("node"))
-    seen = edges = None
-
-    def pairs(x: DataFrame) -> DataFrame:
-        tied = x.where("h_component <> component").where(allowed("h_", ""))
-        tied = tied.select(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).distinct()
-        return tied if seen is None else tied.join(seen, ["a", "b"], "left_anti")
-
-    names = [*own[1:], "component"]
-    for turn in range(ROUNDS):
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("__order"), *names)).over(bucket)
-        met = mixed.withColumn("hub", hub).select(*own, "component", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in names))
-        found = scratch.save(pairs(met), "pairs")
-        seen = found if seen is None else seen.union(found)
-        held = verify(found)
-        edges = held if edges is None else edges.union(held)
-        groups = connected(edges, scratch)
-        placed = (
-            mixed.drop("component").join(groups.withColumnRenamed("component", "__c"), "node", "left")
-            .withColumn("component", F.coalesce("__c", "node")).select(*own, "component")
-            .withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
-            .where("lo < hi").drop("lo", "hi")
-        )
-        after = scratch.save(placed, "mixed")
-        if turn:
-            scratch.drop(mixed)
-        mixed = after
-        # pairs of different groups that share a bucket
-        each = mixed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        open_pairs, rows = each.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        if not rows:
-            return groups
-        if open_pairs <= PAIRS_PER_ROW * rows:
-            break
-    other = mixed.select("key", *(F.col(c).alias(f"h_{c}") for c in names))
-    found = scratch.save(pairs(mixed.join(other, "key").where("h_node < node")), "pairs")
-    return connected(edges.union(verify(found)), scratch)
+    held: list[pa.RecordBatch] = []
+
+    def settle(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, node = part.column(0).to_numpy(), part.column(1).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        judge = judge_of(part)
+        few = sizes <= SMALL
+
+        def every() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield from small_pairs(starts[few & (sizes > 1)], sizes[few & (sizes > 1)], judge)
+            for k in np.flatnonzero(~few):
+                yield from large_pairs(int(starts[k]), int(sizes[k]), judge)
+
+        for i, j in every():
+            if len(i):
+                a, b = node[i], node[j]
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                pairs = pairs[:, pairs[0] != pairs[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1])) if key[0] <= key[-1] else 0  # where the last bucket begins
+        if cut:
+            yield from settle(joined([*held, batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        elif held and held[-1].column(0)[0].as_py() != key[0]:
+            yield from settle(joined(held))
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield from settle(joined(held))

@@ -3,8 +3,8 @@
 Each table signs a vector against its own hyperplanes. The bits of a table grow with
 the logarithm of the number of vectors, so that strangers share a bucket about as
 rarely at any size, and the number of tables follows from the bits: as many as find a
-pair at the threshold with the wanted recall. Candidates are verified by their exact
-cosine and closed to groups.
+pair at the threshold with the wanted recall. What shares a bucket is verified there by
+its exact cosine, and the near copies are closed to groups.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brackwater.llm import words as W
-from brackwater.llm.buckets import close
+from brackwater.llm.buckets import bucket_pairs
+from brackwater.llm.components import connected
 from brackwater.llm.scratch import Scratch
 
 COSINE = 0.95
@@ -83,31 +84,26 @@ def groups(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, s
                         key = W.mix(key + (sign[:, b : b + 32] << np.arange(min(32, bits - b), dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + W.STEP[1])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[at])], ["key", "node"])
 
-    def close_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            x_rows, y_rows = (dict() for _ in range(2))
-            for k, found in ((2, x_rows), (3, y_rows)):
-                for at, x in matrices(batch.column(k)):
-                    found.update(zip(at.tolist(), x))
-            for r in x_rows.keys() & y_rows.keys():
-                x, y = x_rows[r], y_rows[r]
-                keep[r] = len(x) == len(y) and float(x @ y) >= cosine - 1e-9
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    def judge_of(part: pa.RecordBatch):
+        size = pa.compute.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+        unit = np.zeros((part.num_rows, size.max(initial=1)))
+        for at, x in matrices(part.column(2)):
+            unit[at, : x.shape[1]] = x
+
+        def judge(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            near = (size[i] == size[j]) & (np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine - 1e-9)
+            return near, near
+
+        return judge
 
     distinct = scratch.save(rows.groupBy("node").agg(F.first("v").alias("v")), "vectors")
     bucket = Window.partitionBy("key")
     keys = distinct.mapInArrow(keyed, "key long, node long")
     near = scratch.save(keys.withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket)).where("lo < hi").select("key", "node"), "near")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        joined = (
-            pairs.join(distinct.select(F.col("node").alias("a"), F.col("v").alias("x")), "a")
-            .join(distinct.select(F.col("node").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
-        )
-        return scratch.save(joined.mapInArrow(close_enough, "a long, b long"), "edges")
-
-    component = close(near, lambda x, y: F.lit(True), verify, scratch)
+    sorted_near = near.join(distinct, "node").select("key", "node", "v").repartition("key").sortWithinPartitions("key", F.xxhash64("node"))
+    edges = sorted_near.mapInArrow(lambda batches: bucket_pairs(batches, judge_of), "a long, b long").distinct()
+    component = connected(scratch.save(edges, "edges"), scratch)
     # equal vectors are copies if they have a direction, which their keys tell
     directed = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     placed = (
