@@ -261,6 +261,7 @@ def find(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: fl
     columns are not read.
     """
     spark = docs.sparkSession
+    W.bound_batches(spark)
     ids = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType)]
     out = T.StructType(ids + [T.StructField("distance", T.IntegerType()), T.StructField("end_word", T.LongType())])
     result = spark.createDataFrame([], out)
@@ -298,7 +299,7 @@ def reject(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall:
                         keep[a + row] = False
                 yield batch.filter(pa.array(keep))
 
-        left = left.mapInArrow(run, docs.schema)
+        left = W.through(left, run)
     return left
 
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from brackwater.llm.words import bound_batches
+
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)(?:[^>"']*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)[^>]*>")
 SPACE = re.compile(r"\s+")
@@ -207,6 +209,7 @@ def extract(pages: DataFrame) -> DataFrame:
     read as far as it goes. Null ids and repeated rows are carried along, an empty
     table gives an empty one, other columns are not read.
     """
+    bound_batches(pages.sparkSession)
     out = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("text", T.StringType()), T.StructField("chars", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 A paragraph is a line that holds a word. A softmax regression over hashed word 1- and
 2-grams that occur in licence templates tells the families and an unknown class apart.
 It is trained on perturbed windows of the templates against paragraphs of the corpus:
-those of at most ``background`` documents, the ones of smallest hash. A temperature
+at most ``background``, the ones of smallest hash. A temperature
 fitted on held-out paragraphs calibrates the probabilities. A family stands when it is
 likelier than all else together and enough of a template's word pairs is in the
 paragraph, or of the paragraph's in a template.
@@ -233,13 +233,14 @@ def fit_texts(background: list[str], epochs: int = 6, rate: float = 0.5) -> Mode
 
 
 def fit(docs: DataFrame, background: int = BACKGROUND) -> Model:
-    """Fit with the first paragraphs of at most ``background`` documents of the corpus as the unknown class.
+    """Fit with at most ``background`` paragraphs, of as many documents of the corpus, as the unknown class.
 
-    Paragraphs that hold four fifths of a template are left out of it. Null texts give none.
+    Both are those of smallest hash. Paragraphs that hold four fifths of a template are
+    left out of it. Null texts give none.
     """
     kept = docs.select("text").where("text is not null").orderBy(F.xxhash64("text"), "text").limit(background)
-    paragraphs = kept.select(F.explode(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), 1, 4)).alias("p"))
-    texts = sorted(r.p for r in paragraphs.select(F.substring("p", 1, 2000).alias("p")).collect())
+    paragraphs = kept.select(F.explode(F.split("text", "\n")).alias("p")).where(F.length(F.trim("p")) > 0).distinct()
+    texts = sorted(r.p for r in paragraphs.orderBy(F.xxhash64("p"), "p").limit(background).collect())
     return fit_texts([t for t in texts if max(similarity(word_list(t), f) for f in FAMILIES) < 0.8])
 
 
@@ -277,6 +278,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts state none. Null ids and repeated rows are carried along, an
     empty table gives an empty result, other columns are not read.
     """
+    W.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [("line", T.IntegerType()), ("family", T.StringType()), ("probability", T.DoubleType()), ("similarity", T.DoubleType())]
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(*k) for k in kinds)])

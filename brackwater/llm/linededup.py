@@ -267,7 +267,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep))
 
     joined = docs.withColumn("__d", document_key(docs)).join(F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("shuffle_hash"), "__d", "left")
-    left = joined.select(*(joined[c] for c in docs.columns), "__lines").mapInArrow(run, columns)
+    left = W.through(joined.drop("__d"), run, len(docs.columns))  # the columns of docs, then the lines
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(columns["n_chars"].dataType))
     return left

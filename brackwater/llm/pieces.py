@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from brackwater.llm import words as W
 
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 200_000
 META = b"\xe2\x96\x81"
 UNKNOWN, CONTROL, BYTE = 2, 3, 6
 
@@ -181,7 +181,19 @@ def normalise(text: bytes, model: Model) -> tuple[bytes, np.ndarray]:
     while model.trim and out.endswith(b" "):
         at = where.pop()
         out.pop()
-    return bytes(out), np.array([*where, at], np.int64)
+    return unmarked(bytes(out), np.array([*where, at], np.int64))
+
+
+def unmarked(text: bytes, where: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """text with a space for each mark of a space that stands in it as such, as the pieces can't tell them apart."""
+    if META not in text:
+        return text, where
+    keep = np.ones(len(where), bool)
+    at = text.find(META)
+    while at >= 0:
+        keep[at + 1 : at + 3] = False
+        at = text.find(META, at + 3)
+    return text.replace(META, b" "), where[keep]
 
 
 class Encoder:
@@ -192,8 +204,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.text: list[bytes] = []
+        self.known = np.zeros(0, np.uint64)  # hashes of segments, sorted, and the slot of each
+        self.slot = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)
@@ -204,7 +216,8 @@ class Encoder:
         """Normalised bytes of all rows, row offsets, and the source offsets (none where it is the text after one space or none)."""
         raw, at = W.utf8(array)
         m = self.model
-        if m.map is None and not m.trim:
+        marked = META in raw.tobytes()
+        if m.map is None and not m.trim and not marked:
             if not m.dummy_prefix:
                 return raw, at, None
             full = np.diff(at) > 0
@@ -214,13 +227,18 @@ class Encoder:
             mask[(at[:-1] + shift[:-1])[full]] = False
             out[mask] = raw
             return out, at + shift, None
-        parts, where = zip(*(normalise(raw[a:b].tobytes(), m) for a, b in zip(at[:-1], at[1:])))
+        if m.map is None and not m.trim:
+            rows = [raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            lead = [m.dummy_prefix and bool(t) for t in rows]
+            parts, where = zip(*(unmarked(b" " * p + t, np.maximum(np.arange(len(t) + p + 1) - int(p), 0)) for t, p in zip(rows, lead)))
+        else:
+            parts, where = zip(*(normalise(raw[a:b].tobytes(), m) for a, b in zip(at[:-1], at[1:])))
         sizes = np.array([len(p) for p in parts])
         return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), where
 
-    def _add(self, texts: list[bytes], hashes: list[int]) -> None:
+    def _add(self, texts: list[bytes], hashes: np.ndarray) -> None:
         m = self.model
-        found = m.engine.encode([t.decode("utf-8", "replace") for t in texts])
+        found = m.engine.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
         lengths = []
         for k, ids in enumerate(found):
             own = m.length[ids] if ids else np.zeros(0, np.int64)
@@ -228,7 +246,9 @@ class Encoder:
                 proto = m.engine.encode(texts[k].decode("utf-8", "replace"), out_type="immutable_proto")
                 own = np.array([len(p.surface.encode()) for p in proto.pieces], np.int64)
             lengths.append(own)
-            self.slot[hashes[k]] = len(self.first) - 1 + k
+        at = np.searchsorted(self.known, hashes)
+        self.slot = np.insert(self.slot, at, len(self.first) - 1 + np.arange(len(texts)))
+        self.known = np.insert(self.known, at, hashes)
         self.ids = np.concatenate([self.ids, *(np.array(f, np.int32) for f in found)])
         self.lengths = np.concatenate([self.lengths, *lengths])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(f) for f in found])])
@@ -252,15 +272,15 @@ class Encoder:
         cuts = np.flatnonzero(start[:-1])
         ends = np.append(cuts[1:], n) if len(cuts) else cuts
         hashes, use = np.unique(W.span_hashes(text, cuts, ends, W.RAW_CODES[1]), return_inverse=True)
-        if len(self.slot) + len(hashes) > CACHE_SEGMENTS:
+        if len(self.known) + len(hashes) > CACHE_SEGMENTS:
             self._clear()
-        listed = hashes.tolist()
-        new = [k for k, h in enumerate(listed) if h not in self.slot]
-        if new:
+        place = np.searchsorted(self.known, hashes)
+        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(new):
             sample = np.zeros(len(hashes), np.int64)
             sample[use] = np.arange(len(use))
-            self._add([text[cuts[sample[k]] : ends[sample[k]]].tobytes() for k in new], [listed[k] for k in new])
-        slot = np.array([self.slot[h] for h in listed], np.int64)[use] if len(use) else np.zeros(0, np.int64)
+            self._add([text[a:b].tobytes() for a, b in zip(cuts[sample[new]], ends[sample[new]])], hashes[new])
+        slot = self.slot[np.searchsorted(self.known, hashes)][use] if len(use) else np.zeros(0, np.int64)
         # each use has the very bytes that were encoded
         size = ends - cuts
         if (self.byte_first[slot + 1] - self.byte_first[slot] != size).any() or (self.bytes[np.repeat(self.byte_first[slot] - cuts, size) + np.arange(n)] != text).any():
@@ -326,6 +346,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     one has no ids and the one offset 0. Null ids and repeated rows are carried along,
     an empty table gives an empty one, other columns are not read.
     """
+    W.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(load(path or model_path()).data)  # half a megabyte
     out = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
@@ -347,6 +368,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of encoded (doc_id, ids): the normalised text. Null ids give null."""
+    W.bound_batches(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(load(path or model_path()).data)
     out = T.StructType([T.StructField("doc_id", encoded.schema["doc_id"].dataType), T.StructField("text", T.StringType())])
 

@@ -113,6 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **option
     of one class only, the model rejects nothing.
     """
     spark = docs.sparkSession
+    W.bound_batches(spark)
     chosen = (
         labels.select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("__y"))
         .where("__id is not null and __y is not null")
@@ -174,6 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     very long texts are scored like any other row; an empty table gives an empty one.
     Other columns of docs are not read.
     """
+    W.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +201,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(place), m, dense) < m.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return W.through(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
