@@ -64,7 +64,7 @@ def scores(chunks: DataFrame, queries: DataFrame, allowed: Column | None = None)
     tf, length = F.col("tf").cast("double"), F.col("length")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("avgdl")))
     return (
-        counted.where("may").join(broadcast_if_small(weights), ["domain_id", "term"]).join(broadcast_if_small(asked), "term")
+        counted.where("may").join(weights, ["domain_id", "term"]).join(broadcast_if_small(asked), "term")
         .groupBy("domain_id", "query_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     )
 

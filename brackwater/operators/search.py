@@ -24,7 +24,8 @@ def search(
     corpus has domain_id, chunk_id, text and embedding, and what ``allowed`` reads;
     queries has query_id, text and vector. A query without text is answered by vectors
     alone, one without a vector by words alone. Results are ranked before any text is
-    fetched; only the pool of each query is joined to texts and vectors.
+    fetched, and joined to texts and vectors where a step reads those; such a pool is
+    small, which adaptive execution sees when it has run.
     """
     if index not in ("flat", "sq"):
         raise ValueError(f"no index kind {index!r} here; Cells is for approximate search")
@@ -34,21 +35,21 @@ def search(
     vectors = dense.scan(corpus if allowed is None else corpus.where(allowed), queries, fetch, quantised=index == "sq")
     words = lexical.search(corpus, queries.where("text is not null"), fetch, allowed)
     pool = fusion.hybrid(vectors, words, pool_size)
-    if reranker or with_text or diversity:
-        columns = [c for c, wanted in (("text", with_text or reranker), ("embedding", diversity)) if wanted]
-        fetched = corpus.select("chunk_id", *columns).join(broadcast_if_small(pool), "chunk_id")
-        asked = queries.select("query_id", F.col("text").alias("query_text"))
-        pool = fetched.join(broadcast_if_small(asked), "query_id", "left")
     if reranker:
-        plain = pool.where("query_text is null")
-        pool = fusion.rerank(pool.where("query_text is not null"), "query_text", "text", reranker).unionByName(plain)
+        read = pool.join(corpus.select("chunk_id", "text"), "chunk_id").join(_texts(queries), "query_id", "left")
+        scored = fusion.rerank(read.where("query_text is not null"), "query_text", "text", reranker)
+        pool = scored.unionByName(read.where("query_text is null")).select(*fusion.KEYS, "chunk_id", "score", "rank")
     if diversity:
-        chosen = fusion.diversify(pool, k, diversity)
-        pool = chosen.join(pool.drop("score", "rank"), ["domain_id", "query_id", "chunk_id"])
-    pool = pool.where(F.col("rank") <= k)
+        pool = fusion.diversify(pool.join(corpus.select("chunk_id", "embedding"), "chunk_id", "left"), k, diversity)
+    pool = pool.where(F.col("rank") <= k).select(*fusion.KEYS, "rank", "chunk_id", "score")
     if not with_text:
-        return pool.select("domain_id", "query_id", "rank", "chunk_id", "score")
-    return pool.select("domain_id", "query_id", "rank", "chunk_id", "score", "text", snippet(F.col("text"), F.col("query_text")).alias("snippet"))
+        return pool
+    read = pool.join(corpus.select("chunk_id", "text"), "chunk_id").join(_texts(queries), "query_id", "left")
+    return read.select(*fusion.KEYS, "rank", "chunk_id", "score", "text", snippet(F.col("text"), F.col("query_text")).alias("snippet"))
+
+
+def _texts(queries: DataFrame) -> DataFrame:
+    return broadcast_if_small(queries.select("query_id", F.col("text").alias("query_text")))
 
 
 def merge_domains(hits: DataFrame, k: int) -> DataFrame:
