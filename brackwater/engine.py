@@ -70,8 +70,8 @@ class Engine:
     def _next_id(self, name: str) -> int:
         return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
 
-    def _row(self, name: str, **values) -> DataFrame:
-        return self.spark.createDataFrame([tuple(values.get(f.name) for f in TABLES[name].fields)], TABLES[name])
+    def _row(self, table: str, /, **values) -> DataFrame:
+        return self.spark.createDataFrame([tuple(values.get(f.name) for f in TABLES[table].fields)], TABLES[table])
 
     # names
 
