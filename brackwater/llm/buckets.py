@@ -82,7 +82,7 @@ def large_pairs(start: int, size: int, judge: Judge) -> Iterator[tuple[np.ndarra
 
 
 def bucket_pairs(batches: Iterator[pa.RecordBatch], judge_of: Callable[[pa.RecordBatch], Judge]) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b, of rows (key, node, ...) sorted by key: the pairs of nodes in one bucket that may hold.
+    """(a, b) of rows (key, node, ...) sorted by key: the pairs of nodes in one bucket that may hold, a before b in it.
 
     judge_of() gives, for some rows, the function that says of row pairs which may hold
     and which surely do. A pair that several buckets have comes as often.
@@ -103,8 +103,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch], judge_of: Callable[[pa.Recor
 
         for i, j in every():
             if len(i):
-                a, b = node[i], node[j]
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                pairs = np.unique(np.stack([node[np.minimum(i, j)], node[np.maximum(i, j)]]), axis=1)
                 pairs = pairs[:, pairs[0] != pairs[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
