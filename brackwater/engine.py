@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from brackwater.functions.text import MODELS, content_hash, mock_embedding
 from brackwater.operators import chunking
 from brackwater.operators.filters import request_filter
-from brackwater.operators.search import merge_domains, search
+from brackwater.operators.search import INDEXES, merge_domains, search
 from brackwater.operators.sizes import broadcast_if_small
 from brackwater.schema import TABLES
 from brackwater.sources.extract import extract
@@ -45,7 +45,9 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, index_kind: str = "flat", embedders: dict[str, Callable] | None = None, reranker: Callable[[Column, Column], Column] | None = None, clock: Callable[[], int] | None = None):
         self.spark, self.store, self.reranker = spark, Store(spark, root), reranker
-        self.index = {"flat": "flat", "sq": "sq", "scalar": "sq"}[index_kind]
+        if index_kind.lower() not in INDEXES:
+            raise ValueError(f"no index kind {index_kind!r}")
+        self.index = index_kind.lower()
         self.embedders = embedders or {"mock": mock_embedding(MODELS["mock"][0])}
         self.clock = clock or (lambda: int(time.time() * 1000))
 
@@ -67,6 +69,10 @@ class Engine:
         rows = self.table(name, None if domain_id is None else [domain_id])
         return rows.orderBy("id").offset(offset).limit(limit)
 
+    def persist_indexes(self) -> int:
+        """How many indexes were written: none, as an index is what the tables hold."""
+        return 0
+
     def _next_id(self, name: str) -> int:
         return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
 

@@ -13,6 +13,8 @@ from brackwater.operators.sizes import broadcast_if_small
 from brackwater.schema import MAX_K, fetch_size
 
 RERANK_CANDIDATES = 20
+#: Index kinds by name: exact, int8 codes, and approximate by cells, which stands in for any graph index.
+INDEXES = {"flat": "flat", "sq": "sq", "scalar": "sq", "cells": "cells", "hnsw": "cells"}
 
 
 def search(
@@ -27,12 +29,15 @@ def search(
     fetched, and joined to texts and vectors where a step reads those; such a pool is
     small, which adaptive execution sees when it has run.
     """
-    if index not in ("flat", "sq"):
-        raise ValueError(f"no index kind {index!r} here; Cells is for approximate search")
+    if index not in INDEXES:
+        raise ValueError(f"no index kind {index!r}")
     k, diversity = min(k, MAX_K), min(max(diversity, 0.0), 1.0)
     fetch = fetch_size(k)
     pool_size = min(max(rerank_candidates, k), fetch) if reranker else fetch if diversity else k
-    vectors = dense.scan(corpus if allowed is None else corpus.where(allowed), queries, fetch, quantised=index == "sq")
+    if INDEXES[index] == "cells":
+        vectors = dense.approximate(corpus, queries, fetch, allowed)
+    else:
+        vectors = dense.scan(corpus if allowed is None else corpus.where(allowed), queries, fetch, quantised=INDEXES[index] == "sq")
     words = lexical.search(corpus, queries.where("text is not null"), fetch, allowed)
     pool = fusion.hybrid(vectors, words, pool_size)
     if reranker:

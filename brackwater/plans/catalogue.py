@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from brackwater.auth import allows
 from brackwater.functions import text as X
 from brackwater.functions import vectors as V
+from brackwater.functions.crypto import derive_key, opened, rekeyed, sealed
 from brackwater.operators import chunking, dense, fusion, lexical
 from brackwater.operators.filters import compile_filter, request_filter
 from brackwater.operators.search import merge_domains, search
@@ -172,6 +173,14 @@ def model_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", X.with_prefix(F.col("text"), model, True).alias("as_query"), X.with_prefix(F.col("text"), model, False).alias("as_passage"))
 
 
+@register("sealed_texts", "SELECT doc_id, text FROM documents")
+def sealed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encrypted, put under another key, and opened again."""
+    old, new = derive_key("one", b"salt", 1000), derive_key("two", b"salt", 1000)
+    text = opened(rekeyed(sealed(F.col("text"), old, "documents"), old, new, "documents"), new, "documents")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text"))
+
+
 # --- ranking -------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions.text import mock_embedding
 from brackwater.operators.chunking import chunks
+from brackwater.sources.shared import stored
 
 DOMAINS = {"de": 1, "en": 2, "es": 3, "fr": 4}
 OTHER_DOMAIN = 5
@@ -39,8 +40,8 @@ def tagged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """plain_chunks() with embedding."""
-    return plain_chunks(spark, sf_dir).withColumn("embedding", mock_embedding(DIM)(F.col("text")))
+    """plain_chunks() with embedding, as a table: texts are cut and embedded once, however often a search reads them."""
+    return stored(plain_chunks(spark, sf_dir).withColumn("embedding", mock_embedding(DIM)(F.col("text"))), "chunks")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,26 @@ def test_small_functions(spark):
     assert (row.u, row.n) == ("2023-11-14_22-13-20", "a b\n\nc") and row.h.startswith("ba7816bf")
     assert X.fnv1a([b"", b"a", b"foobar"]).tolist() == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
     assert X.embed_counts(["a a b", "", None], 4)[0].sum() == 3 and X.embed_counts(["", None], 4)[1] is None
+
+
+def test_sealed_columns(spark):
+    from brackwater.functions import crypto
+
+    key, other = crypto.derive_key("a", b"s", 10), crypto.derive_key("b", b"s", 10)
+    df = spark.createDataFrame([("secret ü",), ("",), (None,)], "t string").withColumn("c", crypto.sealed(F.col("t"), key, "x"))
+    assert [r.o for r in df.select(crypto.opened("c", key, "x").alias("o")).collect()] == ["secret ü", "", None]
+    for wrong in (crypto.opened("c", other, "x"), crypto.opened("c", key, "y")):
+        with pytest.raises(Exception, match="AES"):
+            df.select(wrong).collect()
+    assert crypto.blind_name("n", key) == crypto.blind_name("n", key) != crypto.blind_name("n", other)
+
+
+def test_index_kinds_agree(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1 + k % 2, k, f"word{k % 5}", list(map(float, v))) for k, v in enumerate(rng.normal(size=(120, 8)))]
+    c = spark.createDataFrame(rows, "domain_id long, chunk_id long, text string, embedding array<float>")
+    q = spark.createDataFrame([(0, "word1", rows[3][3])], "query_id long, text string, vector array<float>")
+    best = {i: search(c, q, 3, index=i, with_text=False).where("rank = 1").orderBy("domain_id").collect() for i in ("flat", "scalar", "hnsw")}
+    assert best["flat"] == best["hnsw"] and [r.chunk_id for r in best["flat"]] == [r.chunk_id for r in best["scalar"]]
+    with pytest.raises(ValueError):
+        search(c, q, 3, index="tree")
