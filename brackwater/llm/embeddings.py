@@ -3,8 +3,9 @@
 Each table signs a vector against its own hyperplanes. The bits of a table grow with
 the logarithm of the number of vectors, so that strangers share a bucket about as
 rarely at any size, and the number of tables follows from the bits: as many as find a
-pair at the threshold with the wanted recall. What shares a bucket is verified there by
-its exact cosine, and the near copies are closed to groups.
+pair at the threshold with the wanted recall. What shares a bucket is judged there by a
+sketch of more signs, three standard deviations to either side; pairs that may hold are
+verified by their exact cosine and closed to groups.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from brackwater.llm.scratch import Scratch
 COSINE = 0.95
 RECALL = 0.97
 SPARE_BITS = 2
+SKETCH = 256
 
 
 def layout(count: int, cosine: float, recall: float) -> tuple[int, int]:
@@ -37,7 +39,7 @@ def layout(count: int, cosine: float, recall: float) -> tuple[int, int]:
 
 def planes(dim: int, count: int, first: int) -> np.ndarray:
     """dim x count standard normal hyperplanes, the same in every task."""
-    u = (W.stream(31 + dim + 1000 * first, 2 * dim * count) >> np.uint64(11)).astype(float) / 2**53
+    u = (W.stream((31 + dim + 1000 * first) % (1 << 62), 2 * dim * count) >> np.uint64(11)).astype(float) / 2**53
     u = u.reshape(2, dim, count)
     return np.sqrt(-2 * np.log(1 - u[0])) * np.cos(2 * np.pi * u[1])
 
@@ -84,26 +86,45 @@ def groups(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, s
                         key = W.mix(key + (sign[:, b : b + 32] << np.arange(min(32, bits - b), dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + W.STEP[1])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[at])], ["key", "node"])
 
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector with a direction, with its dimension and SKETCH more signs."""
+        for batch in batches:
+            for at, x in matrices(batch.column(1)):
+                sign = np.packbits(x @ planes(x.shape[1], SKETCH, -1) > 0, axis=1)
+                own = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array([r.tobytes() for r in sign], pa.binary())], ["node", "v", "dim", "sketch"])
+
     def judge_of(part: pa.RecordBatch):
-        size = pa.compute.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
-        unit = np.zeros((part.num_rows, size.max(initial=1)))
-        for at, x in matrices(part.column(2)):
-            unit[at, : x.shape[1]] = x
+        dim = part.column(2).to_numpy()
+        words = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint64).reshape(part.num_rows, -1)
+        differ = math.acos(min(1.0, cosine)) / math.pi
+        mean, slack = SKETCH * differ, 3 * math.sqrt(SKETCH * differ * (1 - differ))
 
         def judge(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            near = (size[i] == size[j]) & (np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine - 1e-9)
-            return near, near
+            apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+            return (dim[i] == dim[j]) & (apart <= mean + slack), (dim[i] == dim[j]) & (apart <= mean - slack)
 
         return judge
 
-    distinct = scratch.save(rows.groupBy("node").agg(F.first("v").alias("v")), "vectors")
+    def close_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).flatten().to_numpy() for k in (2, 3))
+            size = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            cut = np.concatenate([[0], np.cumsum(size)])[:-1]
+            dot, xx, yy = (np.add.reduceat(v, cut) for v in (x * y, x * x, y * y))
+            yield batch.select(["a", "b"]).filter(pa.array(dot >= (cosine - 1e-9) * np.sqrt(xx * yy)))
+
+    distinct = scratch.save(rows.groupBy("node").agg(F.first("v").alias("v")).mapInArrow(sketched, "node long, v array<double>, dim int, sketch binary"), "vectors")
     bucket = Window.partitionBy("key")
-    keys = distinct.mapInArrow(keyed, "key long, node long")
+    keys = distinct.select("node", "v").mapInArrow(keyed, "key long, node long")
     near = scratch.save(keys.withColumn("lo", F.min("node").over(bucket)).withColumn("hi", F.max("node").over(bucket)).where("lo < hi").select("key", "node"), "near")
-
-    sorted_near = near.join(distinct, "node").select("key", "node", "v").repartition("key").sortWithinPartitions("key", F.xxhash64("node"))
-    edges = sorted_near.mapInArrow(lambda batches: bucket_pairs(batches, judge_of), "a long, b long").distinct()
-    component = connected(scratch.save(edges, "edges"), scratch)
+    sorted_near = near.join(distinct.select("node", "dim", "sketch"), "node").select("key", "node", "dim", "sketch").repartition("key").sortWithinPartitions("key", F.xxhash64("node"))
+    pairs = scratch.save(sorted_near.mapInArrow(lambda batches: bucket_pairs(batches, judge_of), "a long, b long").distinct(), "pairs")
+    both = (
+        pairs.join(distinct.select(F.col("node").alias("a"), F.col("v").alias("x")), "a")
+        .join(distinct.select(F.col("node").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
+    )
+    component = connected(scratch.save(both.mapInArrow(close_enough, "a long, b long"), "edges"), scratch)
     # equal vectors are copies if they have a direction, which their keys tell
     directed = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     placed = (
