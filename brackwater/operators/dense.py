@@ -16,24 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brackwater.functions import vectors as V
-from brackwater.operators.lexical import ranked
+from brackwater.operators.lexical import FOUND, best, ranked
 from brackwater.schema import SCORE_DIGITS
 
 QUERY_BYTES = 32 << 20
-FOUND = "domain_id long, query_id long, chunk_id long, score double"
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best rows of each column, ties by id."""
-    if len(ids) > 4 * k:
-        bar = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
-        row, column = np.nonzero(scores >= bar)
-    else:
-        row, column = (x.ravel() for x in np.indices(scores.shape))
-    order = np.lexsort((ids[row], -scores[row, column], column))
-    row, column = row[order], column[order]
-    place = np.arange(len(column)) - np.searchsorted(column, column)
-    return row[place < k], column[place < k]
 
 
 def query_blocks(queries: DataFrame, block_bytes: int = QUERY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,7 +60,7 @@ def scan(corpus: DataFrame, queries: DataFrame, k: int, quantised: bool = False)
                     for a in range(0, len(own), step):
                         part = own[a : a + step]
                         score = np.round(x[part] @ q.T, SCORE_DIGITS) + 0.0
-                        r, c = _best(score, chunk[rows[part]], k)
+                        r, c = best(score, chunk[rows[part]], k)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), d)), pa.array(names[c]), pa.array(chunk[rows[part]][r]), pa.array(score[r, c])], ["domain_id", "query_id", "chunk_id", "score"])
 
         found = corpus.select(F.col("domain_id").cast("long"), F.col("chunk_id").cast("long"), "embedding").where("embedding is not null").mapInArrow(run, FOUND)

@@ -7,6 +7,12 @@ counted, and they are counted where the chunk lies before anything is shuffled.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +22,8 @@ from brackwater.operators.sizes import broadcast_if_small
 from brackwater.schema import SCORE_DIGITS
 
 K1, B = 1.2, 0.75
+QUERY_BLOCK = 256
+FOUND = "domain_id long, query_id long, chunk_id long, score double"
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -75,6 +83,85 @@ def ranked(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Da
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best rows of each column, ties by id."""
+    if len(ids) > 4 * k:
+        bar = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
+        row, column = np.nonzero(scores >= bar)
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[row], -scores[row, column], column))
+    row, column = row[order], column[order]
+    place = np.arange(len(column)) - np.searchsorted(column, column)
+    return row[place < k], column[place < k]
+
+
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """(query ids, their terms, terms x queries) of the queries that have a term, so many at a time."""
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    blocks = -(-asked.count() // block)
+    for b in range(blocks):
+        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if got:
+            place: dict[str, int] = {}
+            cells = [(place.setdefault(t, len(place)), q) for q, r in enumerate(got) for t in r.t]
+            table = np.zeros((len(place), len(got)))
+            table[tuple(np.array(cells).T)] = 1
+            yield np.array([r.query_id for r in got]), list(place), table
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
-    """(domain_id, query_id, chunk_id, score, rank) of the k best chunks of each domain for each query."""
-    return ranked(scores(chunks, queries, allowed), k, ("domain_id", "query_id"))
+    """(domain_id, query_id, chunk_id, score, rank) of the k best chunks of each domain for each query.
+
+    As scores(), but blocks of chunks are scored by arrays against QUERY_BLOCK queries at
+    a time, and each block's best k are all that is shuffled. The driver holds the
+    document frequency of a block's terms in each domain.
+    """
+    spark = chunks.sparkSession
+    may = F.coalesce(allowed, F.lit(False)) if allowed is not None else F.lit(True)
+    read = chunks.select(F.col("domain_id").cast("long"), F.col("chunk_id").cast("long"), tokens(F.col("text")).alias("t"), may.alias("may"))
+    stats = {r.domain_id: r for r in statistics(chunks).collect()}
+    out = None
+    for names, terms, table in query_blocks(queries):
+        wanted = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")
+        df = read.select("domain_id", F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(wanted), "term").groupBy("domain_id", "i").count().collect()
+        weight = {d: np.zeros(len(terms)) for d in stats}
+        for d, i, count in df:
+            weight[d][i] = math.log((stats[d].n - count + 0.5) / (count + 0.5) + 1)
+        mean = {d: max(float(r.avgdl or 0), 1e-9) for d, r in stats.items()}
+        sent = spark.sparkContext.broadcast((names, pa.array(terms), table, weight, mean))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, terms, table, weight, mean = sent.value
+            cells = max(1, (32 << 20) // (8 * len(names)))
+            for batch in batches:
+                domain, chunk = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                size = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+                term = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(batch.num_rows), size)
+                hit = (term >= 0) & batch.column(3).to_numpy(zero_copy_only=False)[row]
+                code, tf = np.unique(row[hit] * len(terms) + term[hit], return_counts=True)
+                row, term = code // len(terms), code % len(terms)
+                for d in np.unique(domain[row]):
+                    own = np.flatnonzero(domain[row] == d)
+                    r, t, n = row[own], term[own], tf[own]
+                    part = weight[d][t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[r] / mean[d]))
+                    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                    a = 0
+                    while a < len(first):
+                        b = max(a + 1, int(np.searchsorted(first, first[a] + cells)) - 1) if first[-1] >= first[a] + cells else len(first)
+                        end = first[b] if b < len(first) else len(r)
+                        at = slice(first[a], end)
+                        score = np.round(np.add.reduceat(table[t[at]] * part[at, None], first[a:b] - first[a], axis=0), SCORE_DIGITS)
+                        ids = chunk[r[first[a:b]]]
+                        i, j = best(score, ids, k)
+                        keep = score[i, j] > 0
+                        i, j = i[keep], j[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d)), pa.array(names[j]), pa.array(ids[i]), pa.array(score[i, j])], ["domain_id", "query_id", "chunk_id", "score"])
+                        a = b
+
+        found = read.where(F.size("t") > 0).mapInArrow(run, FOUND)
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        out = spark.createDataFrame([], FOUND)
+    return ranked(out, k, ("domain_id", "query_id"))

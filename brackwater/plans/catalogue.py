@@ -17,6 +17,7 @@ from brackwater.operators.filters import compile_filter, request_filter
 from brackwater.operators.search import merge_domains, search
 from brackwater.plans import corpus as C
 from brackwater.sources import extract as E
+from brackwater.sources.shared import spread
 from brackwater.sources.snapshots import prune_plan
 from brackwater.streaming.jobs import lifecycle, retained
 
@@ -356,7 +357,7 @@ def is_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("extract_html")
 def extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lit("page.html").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").select("page_id", F.lit("page.html").alias("path"), F.encode("html", "UTF-8").alias("content"))
     return E.extract(pages).select("page_id", "text", "error")
 
 

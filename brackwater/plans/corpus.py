@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions.text import mock_embedding
 from brackwater.operators.chunking import chunks
-from brackwater.sources.shared import stored
+from brackwater.sources.shared import spread, stored
 
 DOMAINS = {"de": 1, "en": 2, "es": 3, "fr": 4}
 OTHER_DOMAIN = 5
@@ -17,7 +17,7 @@ DIM = 64
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, domain_id, subdomain, text, metadata, tags) of each document; one without labels has null tags."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
     domain = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in DOMAINS.items()), F.lit(OTHER_DOMAIN)).cast("long")
     tags = F.array_compact(F.array(F.when(F.col("q") == 1, F.lit(1).cast("long")), F.when(F.col("x") == 1, F.lit(2).cast("long"))))
@@ -29,7 +29,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(domain_id, chunk_id, document_id, ordinal, text, prev, next) of each document: one narrow scan."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     domain = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in DOMAINS.items()), F.lit(OTHER_DOMAIN)).cast("long")
     return chunks(docs.select(F.col("doc_id").alias("id"), "text", domain.alias("domain_id")))
 
@@ -52,7 +52,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings table as a corpus of one domain, its labels as tags."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id")
     return rows.select(F.lit(1).cast("long").alias("domain_id"), F.col("vec_id").alias("chunk_id"), "embedding", F.array(F.col("label").cast("long")).alias("tags"))
 
 
