@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brackwater.llm import words as W
+from brackwater.sources.shared import spread
 
 EDITS = 0.2
 RECALL = 0.95
@@ -305,4 +306,4 @@ def reject(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the benchmark table in the whole documents table."""
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

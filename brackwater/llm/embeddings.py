@@ -23,6 +23,7 @@ from brackwater.llm import words as W
 from brackwater.llm.buckets import bucket_pairs
 from brackwater.llm.components import connected
 from brackwater.llm.scratch import Scratch
+from brackwater.sources.shared import spread
 
 COSINE = 0.95
 RECALL = 0.97
@@ -138,4 +139,4 @@ def groups(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, s
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies in the whole embeddings table."""
-    return groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return groups(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id"))

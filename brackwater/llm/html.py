@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from brackwater.llm.words import bound_batches
+from brackwater.sources.shared import spread
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)(?:[^>"']*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)[^>]*>")
@@ -224,4 +225,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The content of the whole pages table."""
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id"))

@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 from brackwater.llm import words as W
 from brackwater.llm.minhash import document_key
 from brackwater.llm.scratch import Scratch
+from brackwater.sources.shared import spread
 
 MIN_WORDS = 50
 BROADCAST_BYTES = 64 << 20
@@ -275,4 +276,4 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages in the whole documents table."""
-    return repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "lines", "words")
+    return repeated_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")).select("doc_id", "lines", "words")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from brackwater.llm import words as W
+from brackwater.sources.shared import spread
 
 CACHE_SEGMENTS = 200_000
 META = b"\xe2\x96\x81"
@@ -382,4 +383,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table, encoded and decoded again."""
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
