@@ -4,8 +4,8 @@ For each element: C characters of text, LC of them in links, T elements below it
 of them links. Its density is C / T times the logarithm of (C / LC) (T / LT), to a base
 that grows with its share of link text, so links count against it. The element whose
 children's densities sum highest is the heart of the page; the least density on the
-way from it to the body is the threshold. Each child of the body that reaches it gives
-the text of its subtree of the highest sum.
+way from it to the body is the threshold. From the body down, each element that reaches
+it, as all above it do, gives the text of its subtree of the highest sum.
 """
 
 from __future__ import annotations
@@ -168,30 +168,28 @@ class Page:
 
     def chosen(self) -> list[int]:
         """The elements whose text is the content, in document order, none within another."""
-        density, total, plain = self.densities()
+        density, total, _ = self.densities()
         b, n = self.body(), len(self.name)
-        inside = [k == b for k in range(n)]
-        for k in range(b + 1, n):
-            inside[k] = inside[self.parent[k]]
-        members = [k for k in range(b, n) if inside[k]]
-        heart = max(members, key=lambda k: (total[k], -k))
+        best = list(range(n))  # the element of the highest sum in each subtree, the first of several
+        for k in range(n - 1, 0, -1):
+            p = self.parent[k]
+            best[p] = max(best[p], best[k], key=lambda e: (total[e], -e))
+        heart = best[b]
         if heart == b or total[heart] == 0:
             return [b]
-        # the region: up from the heart until it has half of the page's plain text or is a child of the body
-        region, threshold = heart, density[heart]
-        while self.parent[region] != b and 2 * plain[region] < plain[b]:
-            region = self.parent[region]
-            threshold = min(threshold, density[region])
-        if region == heart:
-            return [heart]
-        top: dict[int, int] = {}
-        best: dict[int, int] = {}
-        for k in range(region + 1, n):
-            top[k] = k if self.parent[k] == region else top.get(self.parent[k], -1)
-            t = top[k]
-            if t >= 0 and density[t] >= threshold and (t not in best or total[k] > total[best[t]]):
-                best[t] = k
-        return sorted(best.values())
+        threshold, k = density[heart], heart
+        while k != b:
+            k = self.parent[k]
+            threshold = min(threshold, density[k])
+        reached, wanted = [k == b for k in range(n)], {heart}
+        for k in range(b + 1, n):
+            if reached[self.parent[k]] and density[k] >= threshold:
+                reached[k] = True
+                wanted.add(best[k])
+        within = [False] * n
+        for k in range(1, n):
+            within[k] = within[self.parent[k]] or self.parent[k] in wanted
+        return sorted(k for k in wanted if not within[k])
 
     def text(self) -> str:
         """The content, a line for each block."""

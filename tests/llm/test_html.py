@@ -70,6 +70,27 @@ def test_content_without_navigation():
     assert "Home" not in text and "Imprint" not in text
 
 
+def paragraphs(name, n):
+    return [f"{name} paragraph {k} " + "has some words to say here. " * 18 for k in range(n)]
+
+
+def marked(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_every_block_that_reaches_the_threshold_is_content():
+    menu = '<div id="nav"><ul><li><a href="/">Home</a></li><li><a href="/b">Blog</a></li></ul></div>'
+    for blocks, wrap in (([3, 3], "{}"), ([5, 5, 5], "{}"), ([8, 6], "<main>{}</main>"), ([8, 6], "<div><main>{}</main></div>")):
+        texts = [paragraphs(f"block {b}", n) for b, n in enumerate(blocks)]
+        inside = wrap.format("".join(f"<div>{marked(t)}</div>" for t in texts))
+        page = html.Page(f"<html><body>{menu}{inside}</body></html>")
+        assert page.text().split("\n") == [p.strip() for t in texts for p in t]
+    # blocks at different depths, and one beside the path to the heart
+    a, b, c = paragraphs("a", 6), paragraphs("b", 4), paragraphs("c", 3)
+    page = html.Page(f"<body>{menu}<div><div><div>{marked(a)}</div></div></div><section>{marked(b)}</section><article><div>{marked(c)}</div></article></body>")
+    assert page.text().split("\n") == [p.strip() for p in a + b + c]
+
+
 def test_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "plain words only"), (4, "<p>unclosed <b>bold <a href='x'>link"), (5, "<body></body>"), (None, "<p>x &amp; y</p>"), (6, "<div>" * 3000 + "deep"),
             (7, "<script>var a = '<p>no</p>';</script><p>yes, this</p>"), (8, "a < b <3 </nothing>"), (8, "a < b <3 </nothing>"), (9, "<p>" + "long text here. " * 50_000 + "</p>")]
