@@ -42,6 +42,8 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: What may stand in a head; anything else, text too, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 FENCE = frozenset("table td th article section div main body html li".split())
 
 
@@ -51,6 +53,7 @@ class Page:
     def __init__(self, html: str):
         self.name, self.parent, self.last = ["#root"], [0], [0]
         self.own, self.own_link = [0], [0]
+        self.implied = 0  # the body that no tag began
         self.pieces: list[tuple[int, str]] = []  # (element, text or a line break)
         self._parse(html)
 
@@ -61,6 +64,8 @@ class Page:
             if open_at < 0:
                 open_at = n
             if open_at > at:
+                if self.name[stack[-1]] == "head" and not html[at:open_at].isspace():
+                    links, hidden = self._end_head(stack, links, hidden)
                 self._text(stack[-1], html[at:open_at], links, hidden)
             if open_at == n:
                 break
@@ -89,17 +94,19 @@ class Page:
                         if closed == name:
                             break
                 continue
+            if name == "body":
+                links, hidden = self._close(stack, {"head"}, frozenset(), links, hidden)
+                if self.implied in stack[1:]:
+                    continue
+            elif name not in HEAD and self.name[stack[-1]] == "head":
+                links, hidden = self._end_head(stack, links, hidden)
             if name in BLOCK and name != "br":
                 links, hidden = self._close(stack, {"p"}, FENCE, links, hidden)
             if name in ENDS:
                 links, hidden = self._close(stack, *ENDS[name], links, hidden)
             if name in BLOCK:
                 self.pieces.append((stack[-1], "\n"))
-            k = len(self.name)
-            self.name.append(name)
-            self.parent.append(stack[-1])
-            self.own.append(0)
-            self.own_link.append(0)
+            k = self._element(name, stack[-1])
             if name in VOID or html[at - 2] == "/":
                 continue
             if name in RAW:
@@ -112,6 +119,21 @@ class Page:
             links += name == "a"
             hidden += name in HIDDEN
 
+    def _element(self, name: str, parent: int) -> int:
+        self.name.append(name)
+        self.parent.append(parent)
+        self.own.append(0)
+        self.own_link.append(0)
+        return len(self.name) - 1
+
+    def _end_head(self, stack: list[int], links: int, hidden: int) -> tuple[int, int]:
+        """End an open head where its end tag and the body's tag are left out, and begin the body, which a tag further on only repeats."""
+        links, hidden = self._close(stack, {"head"}, frozenset(), links, hidden)
+        if "body" not in self.name:
+            self.implied = self._element("body", stack[-1])
+            stack.append(self.implied)
+        return links, hidden
+
     def _close(self, stack: list[int], names: set, fence: set | frozenset, links: int, hidden: int) -> tuple[int, int]:
         for depth in range(len(stack) - 1, 0, -1):
             name = self.name[stack[depth]]

@@ -91,6 +91,21 @@ def test_every_block_that_reaches_the_threshold_is_content():
     assert page.text().split("\n") == [p.strip() for p in a + b + c]
 
 
+def test_a_head_ends_without_its_end_tag():
+    for page, want in (
+        ("<html><head><title>t</title><body><p>x</p>", "x"),
+        ("<!doctype html><html><head><meta charset=utf-8><title>t</title><style>p {}</style><body class=a><p>x<p>y</body></html>", "x\ny"),
+        ("<head><title>t</title><p>x</p><p>y</p>", "x\ny"),
+        ("<head><title>t</title>\n<link rel=a href=b>\n<script>var a = 1</script>\n plain words", "plain words"),
+        ("<head><title>t</title><img src=a><div>x</div></head><body><p>y</p></body>", "x\ny"),
+        ("<head><title>t</title><template><p>no</p></template><main><p>x</p></main>", "x"),
+        ("<head><title>t</title><template><p>no</p><body><p>x</p>", "x"),
+        ("<body><p>x</p><head><title>t</title><p>y</p></body>", "x\ny"),
+        ("<html><head><title>t</title></head><body><p>x</p></body></html>", "x"),
+    ):
+        assert html.Page(page).text() == want, page
+
+
 def test_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "plain words only"), (4, "<p>unclosed <b>bold <a href='x'>link"), (5, "<body></body>"), (None, "<p>x &amp; y</p>"), (6, "<div>" * 3000 + "deep"),
             (7, "<script>var a = '<p>no</p>';</script><p>yes, this</p>"), (8, "a < b <3 </nothing>"), (8, "a < b <3 </nothing>"), (9, "<p>" + "long text here. " * 50_000 + "</p>")]
