@@ -18,8 +18,12 @@ from pyspark.sql import types as T
 from brackwater.functions import vectors as V
 from brackwater.operators.lexical import FOUND, best, ranked
 from brackwater.schema import SCORE_DIGITS
+from brackwater.sources.shared import stored
 
 QUERY_BYTES = 32 << 20
+#: Recall that approximate search aims at, and how many queries it is measured on.
+RECALL = 0.9
+HELD = 256
 
 
 def query_blocks(queries: DataFrame, block_bytes: int = QUERY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,7 +85,7 @@ def approximate(corpus: DataFrame, queries: DataFrame, k: int, allowed=None) ->
 
 
 class Cells:
-    """Approximate search: unit vectors by their nearest centroid, few cells of which are read for a query."""
+    """Approximate search: unit vectors by their nearest centroid, of which as many cells are read for a query as the recall needs."""
 
     def __init__(self, centroids: np.ndarray, rows: DataFrame):
         self.centroids, self.rows = centroids, rows
@@ -101,39 +105,110 @@ class Cells:
         centers = np.array(fitted.clusterCenters())
         return cls(centers, fitted.transform(unit.withColumn("v", array_to_vector("unit"))).drop("v"))
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8, allowed=None) -> DataFrame:
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n cells nearest to each of the unit vectors x."""
+        if len(self.centroids) == 1:
+            return np.zeros((len(x), 1), np.int64)
+        d = (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T
+        return np.argsort(d, axis=1, kind="stable")[:, :n]
+
+    def fits(self, dim: int) -> bool:
+        """Whether vectors of this dimension can be asked for; a single cell takes any."""
+        return len(self.centroids) == 1 or dim == self.centroids.shape[1]
+
+    def probes_for(self, rows: DataFrame, queries: DataFrame, k: int, recall: float = RECALL) -> int:
+        """The fewest cells that give the recall@k against the exact scan, measured on HELD of the queries.
+
+        Where there are more queries than that, two standard errors above it.
+        """
+        total = len(self.centroids)
+        if total == 1:
+            return 1
+        held = queries.where("vector is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(HELD + 1).select("query_id", "vector")
+        held = stored(held, "held")
+        all_held = held.count() <= HELD
+        exact = scan(rows.withColumn("domain_id", F.lit(0)), held, k).select("query_id", "chunk_id")
+        cells: dict[int, list] = {}
+        for query, cell in rows.select("chunk_id", "cell").join(F.broadcast(exact), "chunk_id").select("query_id", "cell").collect():
+            cells.setdefault(query, []).append(cell)
+        shares = []
+        for ids, x in query_blocks(held):
+            if not self.fits(x.shape[1]):
+                continue
+            place = np.argsort(self.nearest(V.normalise_rows(x), total), axis=1)
+            for row, query in enumerate(ids.tolist()):
+                if query in cells:
+                    # share of this query's hits that each number of cells gives
+                    shares.append(np.bincount(place[row, cells[query]], minlength=total).cumsum() / len(cells[query]))
+        if not shares:
+            return 1
+        shares = np.array(shares)
+        least = shares.mean(axis=0) - (0 if all_held else 2 * shares.std(axis=0) / math.sqrt(len(shares)))
+        return int(np.argmax(least >= recall - 1e-9)) + 1
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, allowed=None) -> DataFrame:
         """(query_id, chunk_id, score, rank) of the k best in the cells nearest to each query.
 
-        While a query has fewer than k hits its cells are doubled, up to all of them,
-        when the result is exact. ``allowed`` is a predicate on the corpus columns.
+        As many cells as probes_for() measures, if no number is given. While a query has
+        fewer than k hits its cells are doubled, up to all of them, when the result is
+        exact. ``allowed`` is a predicate on the corpus columns. Vectors of another
+        dimension than the query's are passed over.
         """
         rows = self.rows if allowed is None else self.rows.where(allowed)
         total, done, pending = len(self.centroids), None, queries.where("vector is not null")
+        probes = self.probes_for(rows, pending, k) if probes is None else probes
         while True:
             probes = min(probes, total)
-            centers = self.centroids
-
-            def near(batches: Iterator[pa.RecordBatch], n=probes) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if total == 1:
-                        pick = np.zeros((batch.num_rows, 1), np.int64)
-                    else:
-                        _, x = V.matrix(batch.column(1), centers.shape[1])
-                        d = (centers**2).sum(axis=1) - 2 * V.normalise_rows(x) @ centers.T
-                        pick = np.argsort(d, axis=1, kind="stable")[:, :n]
-                    at = np.repeat(np.arange(batch.num_rows), pick.shape[1])
-                    own = batch.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(pick.ravel().astype(np.int32))], ["query_id", "q", "cell"])
-
-            asked = pending.select("query_id", V.unit(F.col("vector")).alias("q")).mapInArrow(near, "query_id long, q array<double>, cell int")
-            hits = rows.join(F.broadcast(asked) if pending.count() * probes < 100_000 else asked, "cell")
-            found = ranked(hits.select("query_id", "chunk_id", F.round(V.dot(F.col("unit"), F.col("q")), SCORE_DIGITS).alias("score")), k)
-            full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id") if probes < total else pending.select("query_id")
+            found = ranked(self._scored(rows, pending, k, probes), k)
+            if probes == total:
+                return found if done is None else done.unionByName(found)
+            found = stored(found, "cells")
+            full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
             settled = found.join(full, "query_id", "left_semi")
             done = settled if done is None else done.unionByName(settled)
-            if probes == total:
-                return done
             pending = pending.join(full, "query_id", "left_anti")
             if pending.isEmpty():
                 return done
             probes *= 2
+
+    def _scored(self, rows: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """(query_id, chunk_id, score) of the k best that each batch of rows has for each query in its cells."""
+        spark, out = rows.sparkSession, None
+        kind = "query_id long, chunk_id long, score double"
+        for ids, x in query_blocks(queries):
+            if not self.fits(x.shape[1]):
+                continue
+            x = V.normalise_rows(x)
+            reads = np.zeros((len(self.centroids), -(-len(x) // 8)), np.uint8)  # a bit for each cell and query
+            for a in range(0, len(x), 1024):
+                some = np.zeros((len(x[a : a + 1024]), len(self.centroids)), bool)
+                np.put_along_axis(some, self.nearest(x[a : a + 1024], probes), True, axis=1)
+                reads[:, a // 8 : a // 8 + 128] = np.packbits(some.T, axis=1)
+            sent = spark.sparkContext.broadcast((ids, x, reads))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                names, q, reads = sent.value
+                for batch in batches:
+                    row, x = V.matrix(batch.column(1), q.shape[1])
+                    if not len(row):
+                        continue
+                    chunk, cell = batch.column(0).to_numpy(zero_copy_only=False)[row], batch.column(2).to_numpy(zero_copy_only=False)[row]
+                    order = np.argsort(cell, kind="stable")
+                    chunk, cell, x = chunk[order], cell[order], V.normalise_rows(x[order])
+                    own, first = np.unique(cell, return_index=True)
+                    step = max(8, (32 << 20) // (8 * len(row)) // 8 * 8)
+                    for a in range(0, len(q), step):
+                        part = q[a : a + step]
+                        read = np.unpackbits(reads[own, a // 8 : (a + step) // 8], axis=1, count=len(part)).astype(bool)
+                        score = np.full((len(row), len(part)), -np.inf)
+                        for c, b, e in zip(read, first, np.append(first[1:], len(row))):
+                            asked = np.flatnonzero(c)
+                            score[b:e, asked] = np.round(x[b:e] @ part[asked].T, SCORE_DIGITS) + 0.0
+                        r, c = best(score, chunk, k)
+                        real = np.isfinite(score[r, c])
+                        r, c = r[real], c[real]
+                        yield pa.RecordBatch.from_arrays([pa.array(names[a : a + step][c]), pa.array(chunk[r]), pa.array(score[r, c])], ["query_id", "chunk_id", "score"])
+
+            found = rows.select(F.col("chunk_id").cast("long"), "embedding", "cell").mapInArrow(run, kind)
+            out = found if out is None else out.unionAll(found)
+        return spark.createDataFrame([], kind) if out is None else out

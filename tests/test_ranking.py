@@ -68,6 +68,20 @@ def test_cells_find_most_and_a_filter_all_that_it_leaves(spark):
     assert len(cells.search(q, 10, probes=1, allowed=F.col("chunk_id") < 5).collect()) == 200
 
 
+def test_cells_reach_the_recall_on_the_embeddings_table(spark, data):
+    from brackwater.plans import catalogue
+
+    exact, near = ({(r.query_id, r.chunk_id) for r in q(spark, data).select("query_id", "chunk_id").collect()} for q in (catalogue.cosine_topk, catalogue.ann_cells))
+    assert len(near) == len(exact) and len(exact & near) >= 0.9 * len(exact)
+
+
+def test_cells_read_grow_with_the_cells(spark):
+    x = np.random.default_rng(4).normal(size=(2500, 24))
+    c, q = corpus(spark, enumerate(x)), asked(spark, x[::2])
+    exact, near = ({(r.query_id, r.chunk_id) for r in d.collect()} for d in (dense.scan(c, q, 10), dense.Cells.build(c).search(q, 10)))
+    assert len(near) == len(exact) and len(exact & near) >= 0.9 * len(exact)
+
+
 TEXTS = [(1, 1, "The cat sat on the mat"), (1, 2, "a dog and a cat"), (1, 3, "nothing of note"), (2, 4, "cat cat cat"), (1, 5, ""), (1, 6, None), (1, 7, "Zürich X y")]
 
 
