@@ -6,7 +6,8 @@ least n - q + 1 - q * edits of the item's q-grams, so one vectorised pass over e
 word of every document leaves exactly the windows that can match. Those windows, of
 the item's size, go through CGK random walks, which map edit distance to Hamming
 distance; keys of sampled positions of many walks meet the items' keys, with as many
-walks as simulated pairs at the largest distance need for the wanted recall. Every
+walks as simulated pairs at the largest distance need for the wanted recall; where
+MOST_WALKS are too few, every window that the bound leaves is verified instead. Every
 match is verified by exact semi-global edit distance.
 
 Documents are scanned where they lie, without a shuffle. Items go to all tasks, in
@@ -97,16 +98,24 @@ def edited(tokens: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
 
 @lru_cache(64)
 def walks_for(size: int, edits: float, recall: float) -> int:
-    """How many walks find simulated pairs of a size at the largest distance with this probability, a power of two times 6."""
+    """How many walks find simulated pairs of a size at the largest distance with this probability, a power of two times 6.
+
+    0 where MOST_WALKS do not, as for long items: the hamming distance of walks grows
+    faster than the edits. Where half the size is beyond them, so is the size.
+    """
+    if size > 64 and not walks_for(size // 2, edits, recall):
+        return 0
     draw, k, pairs = np.random.default_rng(size), allowed(size, edits), 60
     base = [draw.integers(1, 1 << 62, size).astype(np.uint64) for _ in range(pairs)]
     other = [np.concatenate([edited(b, k, draw), draw.integers(1, 1 << 62, size).astype(np.uint64)])[:size] for b in base]
     starts = np.arange(pairs) * size
     x, y = (walk_keys(np.concatenate(t), starts, size, MOST_WALKS) for t in (base, other))
     walks = 6
-    while walks < MOST_WALKS and (x[:, :walks] == y[:, :walks]).any(axis=1).mean() < recall:
+    while walks <= MOST_WALKS:
+        if (x[:, :walks] == y[:, :walks]).any(axis=1).mean() >= recall:
+            return walks
         walks *= 2
-    return walks
+    return 0
 
 
 @dataclass(frozen=True)
@@ -147,6 +156,8 @@ def prepare(texts: list[str | None], edits: float = EDITS, recall: float = RECAL
     for n, members in sizes.items():
         # simulated once for each size class, at its upper end
         walks[n] = walks_for(1 << max(2, int(np.ceil(np.log2(n)))), edits, recall)
+        if not walks[n]:
+            continue
         keys = walk_keys(np.concatenate([tokens[i] for i in members]), np.arange(len(members)) * n, n, walks[n])
         order = np.argsort(keys.ravel(), kind="stable")
         tables[n] = (keys.ravel()[order], np.repeat(members, walks[n])[order])
@@ -206,10 +217,15 @@ def matches(words: np.ndarray, rows: np.ndarray, items: Items, filters: dict) ->
                 candidates.setdefault(int(n), []).append((row[a], i, starts))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for n, found in candidates.items():
-        starts = np.concatenate([s for *_, s in found])
-        owner = np.repeat([row for row, *_ in found], [len(s) for *_, s in found])
-        keys, members = items.tables[n]
         hits: dict[tuple[int, int], list[int]] = {}
+        if not items.walks[n]:
+            # no number of walks reaches the recall: every window that is left is verified
+            for row, i, s in found:
+                hits.setdefault((row, i), []).extend(s.tolist())
+            found = []
+        starts = np.concatenate([s for *_, s in found]) if found else np.zeros(0, np.int64)
+        owner = np.repeat([row for row, *_ in found], [len(s) for *_, s in found])
+        keys, members = items.tables.get(n, (None, None))
         for a in range(0, len(starts), 2048):
             near = walk_keys(words, starts[a : a + 2048], n, items.walks[n])
             lo, hi = np.searchsorted(keys, near), np.searchsorted(keys, near, "right")

@@ -99,3 +99,24 @@ def test_very_long_text(spark, docs_of, words):
 def test_walks_reach_the_recall():
     for size in (16, 64):
         assert D.walks_for(size, D.EDITS, D.RECALL) <= D.MOST_WALKS
+
+
+def test_long_items_with_many_edits_are_found(words):
+    for n in (200, 400, 800):
+        k = D.allowed(n, D.EDITS)
+        items = [words(n, 4000 + n + t) for t in range(20)]
+        index = D.prepare([" ".join(i) for i in items])
+        filters = D._filters(index)
+        got = 0
+        for t, item in enumerate(items):
+            text = " ".join(words(150, 5000 + t) + edit(item, k, 6000 + n + t) + words(150, 7000 + t))
+            found = D.matches(*W.word_hashes(pa.array([text])), index, filters)
+            assert all(i == t and d <= k for _, i, d, _ in found)
+            got += len(found)
+        assert got >= D.RECALL * len(items), n
+
+
+def test_walks_are_told_where_they_fall_short():
+    for size in (512, 1024):
+        assert D.walks_for(size, D.EDITS, D.RECALL) == 0
+    assert D.walks_for(16, D.EDITS, D.RECALL) > 0
