@@ -257,7 +257,7 @@ class Encoder:
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(texts), np.uint8)])
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, offsets, rows, exact): of row k the ids from rows[k] to rows[k + 1], the offsets from rows[k] + k on, one more; exact where decoding gives the normalised text again."""
+        """(ids, offsets, rows, exact): of row k the ids from rows[k] to rows[k + 1], the offsets from rows[k] + k on, one more; exact where decoding gives the source text again."""
         m, count = self.model, len(array)
         text, at, where = self.prepared(array)
         n = text.size
@@ -302,13 +302,17 @@ class Encoder:
             for k in range(count):
                 part = slice(rows[k] + k, rows[k + 1] + k + 1)
                 offsets[part] = where[k][offsets[part]]
-        # decoded again
+        # decoded again, as decode_lists() does, and held against the source; without offsets of its own that is the text itself
         back = piece_bytes(ids, m)
         exact = np.ones(count, bool)
-        if len(back) != n or not np.array_equal(back, text):
+        if where is not None or len(back) != n or not np.array_equal(back, text):
             cut = np.concatenate([[0], np.cumsum(m.length[ids])])[rows]
+            raw, raw_at = (text, at) if where is None else W.utf8(array)
             for k in range(count):
-                exact[k] = np.array_equal(back[cut[k] : cut[k + 1]], text[at[k] : at[k + 1]])
+                got = back[cut[k] : cut[k + 1]]
+                if where is not None and m.dummy_prefix and len(got) and got[0] == 32:
+                    got = got[1:]
+                exact[k] = np.array_equal(got, raw[raw_at[k] : raw_at[k + 1]])
         return ids, offsets.astype(np.int32), rows, exact
 
 

@@ -55,6 +55,15 @@ def test_round_trip(spark, docs_of, clash):
     assert back == dict(enumerate([*texts, None]))
 
 
+def test_exact_tells_what_decoding_gives(spark, docs_of):
+    texts = ["a mark \u2581 in it", "\u2581", "none in it", " a space first", "", None]
+    encoded = pieces.encode(docs_of(texts))
+    back = {r.doc_id: r.text for r in pieces.decode(encoded).collect()}
+    got = {r.doc_id: r.exact for r in encoded.collect()}
+    assert got == {k: back[k] == t for k, t in enumerate(texts)}
+    assert [got[k] for k in range(6)] == [False, False, True, True, True, True]
+
+
 def darts(pairs):
     """A compiled character map of (from, to) pairs: a double array with a block for each trie node."""
     strings, trie = b"", {}
