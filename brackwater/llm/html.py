@@ -27,7 +27,7 @@ LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)[^>]*>")
 SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template textarea svg iframe object head title".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+RAW = {name: re.compile("</" + name, re.I) for name in "script style textarea title iframe noscript".split()}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "li main nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split()
@@ -54,11 +54,13 @@ class Page:
         self.name, self.parent, self.last = ["#root"], [0], [0]
         self.own, self.own_link = [0], [0]
         self.implied = 0  # the body that no tag began
+        self.open: dict[str, int] = {}  # how many elements of a name are open
         self.pieces: list[tuple[int, str]] = []  # (element, text or a line break)
         self._parse(html)
 
     def _parse(self, html: str) -> None:
         stack, links, hidden, at, n = [0], 0, 0, 0, len(html)
+        last_end = html.rfind(">")
         while at < n:
             open_at = html.find("<", at)
             if open_at < 0:
@@ -77,7 +79,7 @@ class Page:
                 end = html.find(">", open_at)
                 at = n if end < 0 else end + 1
                 continue
-            found = TAG.match(html, open_at) or LOOSE.match(html, open_at)
+            found = (TAG.match(html, open_at) or LOOSE.match(html, open_at)) if open_at < last_end else None
             if not found:
                 self._text(stack[-1], "<", links, hidden)
                 at = open_at + 1
@@ -86,9 +88,10 @@ class Page:
             if html[open_at + 1] == "/":
                 if name in BLOCK:
                     self.pieces.append((stack[-1], "\n"))
-                if name in [self.name[k] for k in stack[1:]]:
+                if self.open.get(name):
                     while True:
                         closed = self.name[stack.pop()]
+                        self.open[closed] -= 1
                         links -= closed == "a"
                         hidden -= closed in HIDDEN
                         if closed == name:
@@ -96,7 +99,7 @@ class Page:
                 continue
             if name == "body":
                 links, hidden = self._close(stack, {"head"}, frozenset(), links, hidden)
-                if self.implied in stack[1:]:
+                if self.implied and self.open.get("body"):
                     continue
             elif name not in HEAD and self.name[stack[-1]] == "head":
                 links, hidden = self._end_head(stack, links, hidden)
@@ -110,12 +113,11 @@ class Page:
             if name in VOID or html[at - 2] == "/":
                 continue
             if name in RAW:
-                end = html.lower().find("</" + name, at) if not html.startswith("</" + name, at) else at
-                end = n if end < 0 else end
-                close = html.find(">", end)
+                end = RAW[name].search(html, at)
+                close = html.find(">", end.start()) if end else -1
                 at = n if close < 0 else close + 1
                 continue
-            stack.append(k)
+            self._push(stack, k)
             links += name == "a"
             hidden += name in HIDDEN
 
@@ -131,14 +133,21 @@ class Page:
         links, hidden = self._close(stack, {"head"}, frozenset(), links, hidden)
         if "body" not in self.name:
             self.implied = self._element("body", stack[-1])
-            stack.append(self.implied)
+            self._push(stack, self.implied)
         return links, hidden
 
+    def _push(self, stack: list[int], k: int) -> None:
+        stack.append(k)
+        self.open[self.name[k]] = self.open.get(self.name[k], 0) + 1
+
     def _close(self, stack: list[int], names: set, fence: set | frozenset, links: int, hidden: int) -> tuple[int, int]:
+        if not any(self.open.get(name) for name in names):
+            return links, hidden
         for depth in range(len(stack) - 1, 0, -1):
             name = self.name[stack[depth]]
             if name in names:
                 for k in stack[depth:]:
+                    self.open[self.name[k]] -= 1
                     links -= self.name[k] == "a"
                     hidden -= self.name[k] in HIDDEN
                 del stack[depth:]
@@ -227,8 +236,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text, chars) of each page.
 
     A null html gives a null text, a page without text an empty one. Broken markup is
-    read as far as it goes. Null ids and repeated rows are carried along, an empty
-    table gives an empty one, other columns are not read.
+    read as far as it goes, a page of any size whole and in time that grows with it. Of
+    elements of one density sum the first is taken. Null ids and repeated rows are
+    carried along, an empty table gives an empty one, other columns are not read.
     """
     bound_batches(pages.sparkSession)
     out = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("text", T.StringType()), T.StructField("chars", T.IntegerType())])

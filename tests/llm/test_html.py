@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from html.parser import HTMLParser
 
 from brackwater.llm import html
@@ -64,6 +66,78 @@ def test_densities_are_those_of_the_tree():
         assert math.isclose(total[k], sum(density(child, body) for child in node[1]))
 
 
+def subtree(node):
+    return [node] + [n for child in node[1] for n in subtree(child)]
+
+
+def selected(tree):
+    """The same choice on nested lists: for each element that reaches the threshold with all above it, the subtree of the highest sum."""
+    body = next(n for n in tree.order if n[0] == "body")
+    dense = {id(n): density(n, body) for n in tree.order}
+    total = {id(n): sum(dense[id(c)] for c in n[1]) for n in tree.order}
+    place = {id(n): k for k, n in enumerate(tree.order)}
+    parent = {id(c): n for n in tree.order for c in n[1]}
+
+    def best(node):
+        return max(subtree(node), key=lambda n: (total[id(n)], -place[id(n)]))
+
+    heart = best(body)
+    if heart is body or not total[id(heart)]:
+        return [place[id(body)]]
+    way = [heart]
+    while way[-1] is not body:
+        way.append(parent[id(way[-1])])
+    least = min(dense[id(n)] for n in way)
+    wanted = {place[id(heart)]}
+
+    def down(node):
+        for child in node[1]:
+            if dense[id(child)] >= least:
+                wanted.add(place[id(best(child))])
+                down(child)
+
+    down(body)
+    inside = {place[id(n)] for k in wanted for n in subtree(tree.order[k])[1:]}
+    return sorted(wanted - inside)
+
+
+def random_tree(d, depth=0):
+    """Well-formed markup of blocks, links and text of many densities."""
+    out = []
+    for _ in range(d.randint(1, 4)):
+        kind = d.random()
+        if depth > 4 or kind < 0.3:
+            out.append("w" * d.randint(1, 9) + " " + "word " * d.choice((0, 1, 5, 40)))
+        elif kind < 0.45:
+            out.append(f"<a>{'link ' * d.randint(1, 6)}</a>")
+        else:
+            name = d.choice(("div", "section", "span", "b"))
+            out.append(f"<{name}>{random_tree(d, depth + 1)}</{name}>")
+    return "".join(out)
+
+
+def test_chosen_elements_are_those_of_the_tree():
+    d = random.Random(17)
+    pages = [f"<html><body>{random_tree(d)}</body></html>" for _ in range(300)]
+    pages += [f"<html><body>{f'<div><div>{x}</div><div>{x}</div></div>' * 2}</body></html>" for x in (random_tree(d) for _ in range(40))]  # ties
+    many = 0
+    for page in pages:
+        tree = Tree()
+        tree.feed(page)
+        chosen = html.Page(page).chosen()
+        assert chosen == selected(tree), page
+        many += len(chosen) > 1
+    assert many > 20
+
+
+def test_scripts_and_depth_take_time_in_proportion():
+    pages = ["<body>" + "<script>var a = '<p>no</p>';</SCRIPT >" * 150_000 + "<p>yes</p>", "<body>" + "<script>var a;" * 400_000, "<div><span>" * 30_000 + "<p>deep</p></b>" * 30_000, "<b " * 300_000]
+    for page in pages:
+        began = time.process_time()
+        html.Page(page).text()
+        assert time.process_time() - began < 10
+
+
 def test_content_without_navigation():
     text = html.Page(PAGE.format(**TEXT)).text()
     assert all(TEXT[p].strip() in text for p in TEXT) and "a link" in text
