@@ -8,6 +8,7 @@ conversation is one array, folded by the machine inside the JVM.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ class Role:
 
 @dataclass(frozen=True)
 class Template:
-    """A machine over roles and the look of each role's turns."""
+    """A machine over roles, the look of each role's turns, and the markers that no text may hold."""
 
     start: str = "start"
     moves: tuple[tuple[str, str, str], ...] = (
@@ -35,6 +36,7 @@ class Template:
         ("answered", "user", "asked"),
     )
     accept: tuple[str, ...] = ("answered",)
+    markers: tuple[str, ...] = ("<|im_start|>", "<|im_end|>")
     roles: dict[str, Role] = field(
         default_factory=lambda: {
             "system": Role("<|im_start|>system\n", "<|im_end|>\n"),
@@ -56,16 +58,20 @@ def segments(turns: DataFrame, template: Template = Template()) -> DataFrame:
     """(conv_id, segment, turn, role, text, loss, error) of each conversation.
 
     A conversation that the machine takes gives three segments for each turn, up to
-    the last turn at which it may end; later turns are left out. Before the text of a
-    turn nothing is trained on; its text and what ends it are where the role says so.
+    the last turn at which it may end. Before the text of a turn nothing is trained
+    on; its text and what ends it are where the role says so. Each turn after that one
+    gives one row with its text and the error "trailing", not to be trained on.
     Any other conversation gives one row without text, with the error: "turn" (a null
-    turn number, or different rows of one number), "text" (a null text), "order" (a
-    null or unknown role, or one that may not come there), "end" (it never comes to an
-    end). Repeated rows count once, rows without conv_id are left out, an empty text
-    is a text, an empty table gives an empty result, other columns are not read.
+    turn number, or different rows of one number), "text" (a null text), "marker" (a
+    text that holds a marker of the template, by which it could forge a turn), "order"
+    (a null or unknown role, or one that may not come there), "end" (it never comes to
+    an end). Repeated rows count once, rows without conv_id are left out, an empty text
+    is a text, a very long one is taken whole, an empty table gives an empty result,
+    other columns are not read. A conversation is one array of one task.
     """
-    each = turns.select("conv_id", "turn", "role", "text").where("conv_id is not null").distinct()
-    packed = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"), F.countDistinct("turn").alias("n"))
+    each = turns.select("conv_id", "turn", "role", "text").where("conv_id is not null")
+    # one shuffle: repeated rows go where they lie, and again where they meet
+    packed = each.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("t"))
     moves = {f"{a}\x00{role}": to for a, role, to in template.moves}
 
     def step(at: Column, turn: Column) -> Column:
@@ -80,29 +86,37 @@ def segments(turns: DataFrame, template: Template = Template()) -> DataFrame:
     zero = F.lit(0)
     first = F.struct(F.lit(template.start).alias("state"), zero.alias("taken"), zero.alias("good"), zero.alias("bad"))
     folded = packed.withColumn("end", F.aggregate("t", first, step))
+
+    def forged(turn: Column) -> Column:
+        return reduce(lambda a, b: a | b, (turn["text"].contains(m) for m in template.markers), F.lit(False))
+
     error = (
-        F.when(F.exists("t", lambda x: x["turn"].isNull()) | (F.size("t") != F.col("n")), "turn")
+        F.when(F.exists("t", lambda x: x["turn"].isNull()) | (F.size("t") != F.size(F.array_distinct("t.turn"))), "turn")
         .when(F.exists("t", lambda x: x["text"].isNull()), "text")
+        .when(F.exists("t", forged), "marker")
         .when(F.col("end.bad") > 0, "order")
         .when(F.col("end.good") == 0, "end")
     )
 
-    def part(turn: Column, text: Column, loss: Column) -> Column:
-        return F.struct(turn["turn"].alias("turn"), turn["role"].alias("role"), text.alias("text"), loss.alias("loss"))
+    def part(turn: Column, text: Column, loss: Column, error: Column) -> Column:
+        return F.struct(turn["turn"].alias("turn"), turn["role"].alias("role"), text.alias("text"), loss.alias("loss"), error.alias("error"))
+
+    none = F.lit(None).cast("string")
 
     def three(turn: Column) -> Column:
         role = turn["role"]
         trained = F.coalesce(_pick(role, {k: r.loss for k, r in template.roles.items()}), F.lit(False))
         before = F.coalesce(_pick(role, {k: r.before for k, r in template.roles.items()}), F.lit(""))
         after = F.coalesce(_pick(role, {k: r.after for k, r in template.roles.items()}), F.lit(""))
-        return F.array(part(turn, before, F.lit(False)), part(turn, turn["text"], trained), part(turn, after, trained))
+        return F.array(part(turn, before, F.lit(False), none), part(turn, turn["text"], trained, none), part(turn, after, trained, none))
 
     kind = turns.schema["turn"].dataType.simpleString()
-    nothing = F.expr(f"array(named_struct('turn', cast(null as {kind}), 'role', cast(null as string), 'text', cast(null as string), 'loss', false))")
-    out = folded.withColumn("error", error).withColumn(
-        "s", F.when(F.col("error").isNull(), F.flatten(F.transform(F.slice("t", F.lit(1), F.col("end.good")), three))).otherwise(nothing)
-    )
-    return out.select("conv_id", "error", F.posexplode("s").alias("segment", "p")).select("conv_id", "segment", "p.turn", "p.role", "p.text", "p.loss", "error")
+    nothing = F.expr(f"array(named_struct('turn', cast(null as {kind}), 'role', cast(null as string), 'text', cast(null as string), 'loss', false, 'error', error))")
+    good = F.col("end.good")
+    taken = F.flatten(F.transform(F.slice("t", F.lit(1), good), three))
+    later = F.transform(F.slice("t", good + 1, F.size("t")), lambda x: part(x, x["text"], F.lit(False), F.lit("trailing")))
+    out = folded.withColumn("error", error).withColumn("s", F.when(F.col("error").isNull(), F.concat(taken, later)).otherwise(nothing))
+    return out.select("conv_id", F.posexplode("s").alias("segment", "p")).select("conv_id", "segment", "p.turn", "p.role", "p.text", "p.loss", "p.error")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +133,7 @@ judged AS (
   SELECT conv_id,
     CASE WHEN count(*) > count(DISTINCT turn) THEN 'turn'
          WHEN count(*) > count(text) THEN 'text'
+         WHEN bool_or(contains(text, '<|im_start|>') OR contains(text, '<|im_end|>')) THEN 'marker'
          WHEN NOT bool_and(coalesce(CASE WHEN place = 1 THEN role IN ('system', 'user')
            WHEN previous IN ('system', 'assistant') THEN role = 'user'
            WHEN previous = 'user' THEN role = 'assistant' END, false)) THEN 'order'
@@ -131,5 +146,7 @@ SELECT conv_id, CAST((place - 1) * 3 + part AS INTEGER) AS segment, turn, role,
   part > 0 AND role = 'assistant' AS loss, error
 FROM placed JOIN judged USING (conv_id), parts WHERE error IS NULL AND place <= good
 UNION ALL
+SELECT conv_id, CAST(good * 3 + place - good - 1 AS INTEGER), turn, role, text, false, 'trailing' FROM placed JOIN judged USING (conv_id) WHERE error IS NULL AND place > good
+UNION ALL
 SELECT conv_id, 0, NULL, NULL, NULL, false, error FROM judged WHERE error IS NOT NULL
 """
