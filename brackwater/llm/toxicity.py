@@ -107,11 +107,11 @@ def fit_sample(array: pa.Array, labels: np.ndarray, bits: int = BITS, epochs: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **options) -> Model:
-    """Fit on at most max_train labelled documents.
+    """Fit on at most max_train labelled documents, whole.
 
     Labels with a null id or label are left out; of several labels of one id the
-    larger counts. Documents without text have no features. With no labels, or labels
-    of one class only, the model rejects nothing.
+    larger counts, of several texts of one id the least. Documents without text have no
+    features. With no labels, or labels of one class only, the model rejects nothing.
     """
     spark = docs.sparkSession
     W.bound_batches(spark)
@@ -125,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **option
         docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
         .where("__text is not null")
         .join(F.broadcast(chosen), "__id")  # max_train rows of two numbers at any size
-        .select("__id", "__text", "__y")
-    )
+        .groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__y").alias("__y"))  # a row for each label, however often its id repeats
+    )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -172,9 +172,9 @@ def _dense(model: Model) -> np.ndarray:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, toxicity, toxic) of every document, in one scan.
 
-    A null or empty text has the score of the bias alone. Repeated rows, null ids and
-    very long texts are scored like any other row; an empty table gives an empty one.
-    Other columns of docs are not read.
+    A null or empty text has the score of the bias alone, a score at the threshold is
+    toxic. Repeated rows, null ids and very long texts are scored like any other row; an
+    empty table gives an empty one. Other columns of docs are not read.
     """
     W.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)

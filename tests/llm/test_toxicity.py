@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from brackwater.llm import toxicity
@@ -55,6 +58,58 @@ def test_odd_rows(spark, judged, docs_of, words):
     assert got == [("1", False), ("2", False), ("3", False), ("3", False), ("4", True), ("None", True)]
 
 
+def naive_ftrl(examples, labels, bias, epochs, alpha, beta, l1, l2):
+    """The published algorithm, coordinate by coordinate."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi, penalty = z.get(i, 0.0), 0.0 if i == bias else l1
+        if abs(zi) <= penalty:
+            return 0.0
+        return -(zi - math.copysign(penalty, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for epoch in range(epochs):
+        for k in np.argsort(toxicity.W.stream(epoch + 1, len(examples))):
+            w = {i: weight(i) for i in examples[k].tolist()}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(old)) / alpha * wi
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_weights_are_those_of_the_naive_algorithm():
+    rng = np.random.default_rng(3)
+    bits = 8
+    examples = [np.append(np.unique(rng.integers(0, 256, 12)), 256).astype(np.int32) for _ in range(150)]
+    labels = np.array([float(e[0] < 12) for e in examples])
+    for l2 in (0.0, 0.5):
+        w, b = toxicity.ftrl(examples, labels, bits, 3, 0.3, 1.0, 0.8, l2)
+        want = naive_ftrl(examples, labels, 256, 3, 0.3, 1.0, 0.8, l2)
+        assert math.isclose(b, want.pop(256), rel_tol=1e-9)
+        assert set(np.flatnonzero(w).tolist()) == set(want) and 0 < len(want) < 250
+        assert all(math.isclose(w[i], x, rel_tol=1e-9) for i, x in want.items())
+
+
+def test_features_are_words_pairs_and_skip_pairs():
+    text = "One two, THREE four five"
+    words = toxicity.W.word_hashes(pa.array([w for w in text.split()]))[0]
+    index, row = toxicity.features(pa.array([text, None, "", "six"]))
+    pairs = [toxicity.W.pair_hashes(words[[i, i + gap]], np.array([0, 2]), 1, gap)[0][0] for gap in (1, 2, 3) for i in range(5 - gap)]
+    six = toxicity.W.word_hashes(pa.array(["six"]))[0]
+    want = sorted(int(h >> np.uint64(44)) for h in [*words, *pairs])
+    assert sorted(index[row == 0].tolist()) == want
+    assert index[row == 3].tolist() == [int(six[0] >> np.uint64(44))] and set(row.tolist()) == {0, 3}
+
+
+def test_repeated_ids_are_one_training_row(judged, clash):
+    docs, labels, _ = judged
+    model, again = toxicity.fit(docs, labels), toxicity.fit(clash(docs.unionAll(docs).unionAll(docs)), labels)
+    assert again.held_out["rows"] == model.held_out["rows"] == 600
+    assert np.array_equal(again.index, model.index) and np.allclose(again.weight, model.weight)
+
+
 def test_no_labels_reject_nothing(judged):
     docs, labels, _ = judged
     for none in (labels.where("false"), labels.where("toxic = 0"), labels.where("toxic = 1")):
