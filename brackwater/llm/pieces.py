@@ -2,7 +2,8 @@
 
 A text is normalised by longest-prefix matches in the model's compiled character map
 (a double-array trie), which also records where in the source each normalised byte
-comes from; models without a map keep the text. Segments that no piece can straddle
+comes from; pieces that the model's user defined stay as they are, and models without
+a map keep the text. Segments that no piece can straddle
 (a run of spaces with what follows, or a newline) are encoded once each and reused;
 every use is compared byte by byte. Piece k of a text covers the source bytes from
 offsets[k] to offsets[k + 1]. Pieces for single bytes cover their byte.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brackwater.llm import words as W
@@ -27,7 +30,7 @@ from brackwater.sources.shared import spread
 
 CACHE_SEGMENTS = 200_000
 META = b"\xe2\x96\x81"
-UNKNOWN, CONTROL, BYTE = 2, 3, 6
+UNKNOWN, CONTROL, USER, BYTE = 2, 3, 4, 6
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -82,6 +85,18 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0]
         self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
         self.strings = blob[4 + size :]
+        root = self._offset(self.units[0])
+        first = [b for b in range(128) if self._child(root, b) is not None]
+        # ASCII that begins no entry, and ASCII that begins one only before other than ASCII
+        self.plain = {*range(128)} - {*first}
+        self.alone = {b for b in first if not self.units[root ^ b] >> 8 & 1 and not any(self._child(self._child(root, b), c) is not None for c in range(1, 128))}
+
+    def _child(self, node: int, byte: int) -> int | None:
+        """The node that a byte leads to."""
+        at = node ^ byte
+        if at >= len(self.units) or self.units[at] & 0x800000FF != byte:
+            return None
+        return at ^ self._offset(self.units[at])
 
     def prefix(self, text: bytes, at: int) -> tuple[bytes, int]:
         """(replacement, bytes taken) of the longest match at a place, else the character there."""
@@ -115,6 +130,8 @@ class Model:
     pieces: list[bytes] = field(default_factory=list)
     kinds: list[int] = field(default_factory=list)
     map: CharacterMap | None = None
+    user: re.Pattern | None = None
+    same: re.Pattern | None = None
     dummy_prefix: bool = True
     trim: bool = True
     escape: bool = True
@@ -134,6 +151,13 @@ class Model:
                 kept.append(wire(number, value))
         # the same pieces over text that is normalised already
         plain = wire(1, b"identity") + wire(3, 0) + wire(4, 0) + wire(5, int(self.escape))
+        own = sorted((p for p, k in zip(self.pieces, self.kinds) if k == USER), key=len, reverse=True)
+        self.user = re.compile(b"|".join(map(re.escape, own))) if own else None
+        if self.map:  # runs of bytes that stay as they are, spaces apart
+            begun = {p[0] for p in own} | {32}
+            free, alone = (b"".join(b"\\x%02x" % b for b in sorted(some - begun)) for some in (self.map.plain, self.map.alone))
+            ways = [b"[%s]" % free] * bool(free) + [b"[%s](?=[\\x00-\\x7f]|$)" % alone] * bool(alone)
+            self.same = re.compile(b"(?:%s)+" % b"|".join(ways), re.S) if ways else None
         self.engine = sentencepiece.SentencePieceProcessor(model_proto=b"".join(kept) + wire(3, plain))
         surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(META, b" ") for p, k in zip(self.pieces, self.kinds)]
         self.unknown = self.kinds.index(UNKNOWN)
@@ -157,6 +181,8 @@ def normalise(text: bytes, model: Model) -> tuple[bytes, np.ndarray]:
     at, n = 0, len(text)
 
     def prefix() -> tuple[bytes, int]:
+        if model.user and (own := model.user.match(text, at)):
+            return own[0], len(own[0])
         return model.map.prefix(text, at) if model.map else (text[at : at + 1], 1)
 
     if model.trim:
@@ -169,6 +195,11 @@ def normalise(text: bytes, model: Model) -> tuple[bytes, np.ndarray]:
         where.append(at)
     space = model.trim
     while at < n:
+        if model.same and (run := model.same.match(text, at)):
+            out += run[0]
+            where += range(at, run.end())
+            at, space = run.end(), False
+            continue
         to, taken = prefix()
         if space:
             to = to.lstrip(b" ")
@@ -244,7 +275,7 @@ class Encoder:
         for k, ids in enumerate(found):
             own = m.length[ids] if ids else np.zeros(0, np.int64)
             if m.unknown in ids:
-                proto = m.engine.encode(texts[k].decode("utf-8", "replace"), out_type="immutable_proto")
+                proto = m.engine.encode(texts[k].decode("utf-8", "replace"), return_type="proto")
                 own = np.array([len(p.surface.encode()) for p in proto.pieces], np.int64)
             lengths.append(own)
         at = np.searchsorted(self.known, hashes)
@@ -371,20 +402,28 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of encoded (doc_id, ids): the normalised text. Null ids give null."""
+def decode(encoded: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ...) of encoded (doc_id, ids): the normalised text, and the columns to keep.
+
+    Null ids give null, no ids an empty text. Null doc_ids and repeated rows are carried
+    along, an empty table gives an empty one, other columns are not read.
+    """
     W.bound_batches(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(load(path or model_path()).data)
-    out = T.StructType([T.StructField("doc_id", encoded.schema["doc_id"].dataType), T.StructField("text", T.StringType())])
+    out = T.StructType([encoded.schema["doc_id"], T.StructField("text", T.StringType()), *(encoded.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), decode_lists(batch.column(1), model)], ["doc_id", "text"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), decode_lists(part.column(1), model), *part.columns[2:]], out.names)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, out)
+    return encoded.select("doc_id", "ids", *keep).mapInArrow(run, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole documents table, encoded and decoded again."""
-    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
+    """The whole documents table, encoded, and decoded again: ``decoded`` is the MD5 of what decoding gives."""
+    encoded = encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
+    back = decode(encoded, keep=("ids", "offsets", "pieces", "exact"))
+    return back.select("doc_id", "ids", "offsets", "pieces", "exact", F.md5("text").alias("decoded"))

@@ -1,5 +1,6 @@
 import random
 import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,89 @@ def test_longest_prefix_map_agrees_with_the_library(mapped):
         assert (np.diff(at) >= 0).all() and at[-1] <= len(t.encode())
 
 
+def remade(model, kinds, blob, trim=1):
+    """The same pieces with other kinds for some, behind a character map."""
+    spec = pieces.wire(1, b"own") + pieces.wire(2, blob) + pieces.wire(3, 1) + pieces.wire(4, trim) + pieces.wire(5, 1)
+    kept = []
+    for number, value in pieces.fields(model.data):
+        if number == 1 and (piece := dict(pieces.fields(value)))[1] in kinds:
+            value = pieces.wire(1, piece[1]) + b"\x15" + piece.get(2, bytes(4)) + pieces.wire(3, kinds[piece[1]])
+        if number not in (3, 4, 5):
+            kept.append(pieces.wire(number, value))
+    return pieces.Model(b"".join(kept) + pieces.wire(3, spec))
+
+
+def nfkc_pairs():
+    """A map like the usual ones: compatibility forms, composed marks, white space, and some characters away."""
+    pairs = []
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2200), *range(0x2460, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F), *range(0x3300, 0x3358)]:
+        c = chr(code)
+        composed, split = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFD", c)
+        if composed != c:
+            pairs.append((c, composed))
+        if split != c and unicodedata.normalize("NFC", split) == c:
+            pairs.append((split, c))
+    spaces = [(c, " ") for c in "\t\n\r\u2000\u2003\u3000"]
+    return list({**dict(pairs), **dict(spaces), "\u200b": "", "\x01": "", "\x7f": ""}.items())
+
+
+def map_texts(n):
+    d = random.Random(31)
+    pool = [*"abc ABC ef  .,", "\t", "e\u0301", "A\u0300", "é", "①", "ﬁ", "Ｆ", "㌀", "\u200b", "\x01", "\u3000", "日", "👍", "½", "ſ", "ab", "the ", "a\u0300\u0301"]
+    return ["".join(d.choice(pool) for _ in range(d.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("trim", [0, 1])
+def test_a_map_of_compatibility_forms_agrees_with_the_library(model, trim):
+    own = remade(model, {}, darts(nfkc_pairs()), trim)
+    real = sentencepiece.SentencePieceProcessor(model_proto=own.data)
+    texts = [t for t in TEXTS + random_texts(200) + map_texts(600) if "\x00" not in t]
+    ids, offsets, rows, _ = pieces.Encoder(own).encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        proto = real.encode(t, return_type="proto")
+        assert ids[rows[k] : rows[k + 1]].tolist() == [p.id for p in proto.pieces], repr(t)
+        assert offsets[rows[k] + k : rows[k + 1] + k].tolist() == [p.begin for p in proto.pieces], repr(t)
+
+
+def test_user_defined_pieces_are_left_as_they_are(model):
+    kinds = {b"A": pieces.USER, b"the": pieces.USER, "é".encode(): pieces.USER}
+    pairs = [("A", "a"), ("B", "b"), ("t", "T"), ("é", "e"), (" ", " "), ("\t", " ")]
+    own = remade(model, kinds, darts(pairs))
+    real = sentencepiece.SentencePieceProcessor(model_proto=own.data)
+    texts = ["AB at the theatre", "A A  A", "ébAé\tt", " the", "thethe A"] + [t for t in map_texts(200) if "\x00" not in t]
+    ids, _, rows, _ = pieces.Encoder(own).encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[rows[k] : rows[k + 1]].tolist() == real.encode(t), repr(t)
+
+
+def test_unknown_pieces_cover_their_text(model):
+    kept = []
+    for number, value in pieces.fields(model.data):
+        if number == 1 and (piece := dict(pieces.fields(value))).get(3) == pieces.BYTE:
+            value = pieces.wire(1, piece[1]) + pieces.wire(3, 5)  # unused
+        if number == 2:
+            value = b"".join(pieces.wire(n, v) for n, v in pieces.fields(value) if n != 35 and isinstance(v, (int, bytes)) and n < 10)
+        kept.append(pieces.wire(number, value))
+    own = pieces.Model(b"".join(kept))
+    real = sentencepiece.SentencePieceProcessor(model_proto=own.data)
+    texts = ["a 日本 b", "👍👍", "é", "x\ny"]
+    ids, offsets, rows, exact = pieces.Encoder(own).encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[rows[k] : rows[k + 1]].tolist() == real.encode(t)
+        assert offsets[rows[k + 1] + k] == len(t.encode())
+        assert exact[k] == (own.unknown not in ids[rows[k] : rows[k + 1]])
+
+
+def test_the_query_decodes_what_it_encodes(spark, data):
+    import hashlib
+
+    got = pieces.query(spark, data).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert len(got) == len(texts)
+    assert all(r.exact == (r.decoded == hashlib.md5(texts[r.doc_id].encode()).hexdigest()) for r in got)
+    assert sum(r.exact for r in got) > 0.99 * len(got)
+
+
 def test_alignment_of_a_replacement(mapped):
     norm, where = pieces.normalise("ﬁ AB①".encode(), mapped)
     assert norm == b" fi [ab]1"
