@@ -7,7 +7,9 @@ go through one plan; single documents are a table of one row.
 from __future__ import annotations
 
 import time
+from collections import Counter, OrderedDict
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,15 +17,23 @@ from pyspark.sql import functions as F
 from brackwater.functions.text import MODELS, content_hash, mock_embedding
 from brackwater.operators import chunking
 from brackwater.operators.filters import request_filter
-from brackwater.operators.search import INDEXES, merge_domains, search
+from brackwater.operators.search import Index, index_of, merge_domains, search
 from brackwater.operators.sizes import broadcast_if_small
 from brackwater.schema import TABLES
 from brackwater.sources.extract import extract
 from brackwater.sources.store import Store
 
+#: How many embedded queries are remembered, and how many rows a page of a listing may have at most.
+REMEMBERED = 256
+MOST_ROWS = 500
 INPUT = "title string, source string, subdomain string, labels array<string>, metadata map<string,string>, text string, chunks array<string>"
 
 
+def ended(jobs: DataFrame, now_ms: int, retention_ms: int) -> Column:
+    """Whether a job ended longer ago than the retention."""
+    return F.coalesce(jobs["status"].isin("Done", "Failed") & (jobs["updated_at"] < now_ms - retention_ms), F.lit(False))
+
+
 def _densely(rows: DataFrame) -> DataFrame:
     """m, of monotonically_increasing_id(), without its gaps: one count a partition goes through the driver."""
     counts = rows.groupBy(F.shiftright("m", 33).alias("p")).count().orderBy("p").collect()
@@ -41,13 +51,20 @@ class NotFound(KeyError):
 
 
 class Engine:
-    """A store with an embedder, an index kind and perhaps a reranker."""
-
-    def __init__(self, spark: SparkSession, root: str, index_kind: str = "flat", embedders: dict[str, Callable] | None = None, reranker: Callable[[Column, Column], Column] | None = None, clock: Callable[[], int] | None = None):
-        self.spark, self.store, self.reranker = spark, Store(spark, root), reranker
-        if index_kind.lower() not in INDEXES:
-            raise ValueError(f"no index kind {index_kind!r}")
-        self.index = index_kind.lower()
+    """A store with embedders, a chunker, a kind of index and perhaps a reranker.
+
+    ``index_kind`` is a name or a function like those of operators.search.INDEXES, the
+    chunker any function from a text to its chunks. ``counts`` holds what this engine
+    has done: searches and the milliseconds they took to plan, documents ingested, and
+    duplicates.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, index_kind: str | Index = "flat", embedders: dict[str, Callable] | None = None, reranker: Callable[[Column, Column], Column] | None = None,
+                 clock: Callable[[], int] | None = None, chunker: Callable[[str], list[str]] = chunking.chunk_text):
+        self.spark, self.store, self.reranker, self.chunker = spark, Store(spark, root), reranker, chunker
+        self.index = index_of(index_kind)
+        self.counts = Counter()
+        self._vectors: OrderedDict[tuple[str, str], list[float]] = OrderedDict()
         self.embedders = embedders or {"mock": mock_embedding(MODELS["mock"][0])}
         self.clock = clock or (lambda: int(time.time() * 1000))
 
@@ -64,10 +81,30 @@ class Engine:
             raise NotFound(f"{name} {row_id}")
         return found[0]
 
-    def page(self, name: str, domain_id: int | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
-        """Rows in the order of their ids."""
+    def page(self, name: str, domain_id: int | None = None, offset: int = 0, limit: int = 100, most: int | None = MOST_ROWS) -> DataFrame:
+        """Rows in the order of their ids, as many as the limit and the most that a page may have."""
         rows = self.table(name, None if domain_id is None else [domain_id])
-        return rows.orderBy("id").offset(offset).limit(limit)
+        return rows.orderBy("id").offset(max(0, offset)).limit(max(0, limit if most is None else min(limit, most)))
+
+    def count(self, name: str, domain_id: int | None = None) -> int:
+        """How many rows a table has."""
+        return self.table(name, None if domain_id is None else [domain_id]).count()
+
+    def purge_jobs(self, now_ms: int, retention_ms: int) -> int:
+        """Forget the jobs that ended longer ago than the retention; how many."""
+        jobs = self.table("jobs")
+        old = ended(jobs, now_ms, retention_ms)
+        gone = jobs.where(old).count()
+        if gone:
+            self.store.commit({"jobs": jobs.where(~old)})
+        return gone
+
+    def fork(self, root: str) -> Engine:
+        """An engine of the same settings over a store of its own that begins with this one's tables, none of which is copied."""
+        other = copy(self)
+        other.store, other.counts, other._vectors = Store(self.spark, root), Counter(), OrderedDict()
+        other.store.publish(self.store.manifest(), 0)
+        return other
 
     def persist_indexes(self) -> int:
         """How many indexes were written: none, as an index is what the tables hold."""
@@ -167,7 +204,7 @@ class Engine:
             F.lit(self.clock()).cast("long").alias("created_at"), "text", "chunks", "sha256",
         )
         carried = ["id", "domain_id", "subdomain_id", "tags", "metadata"]
-        cut = chunking.chunks(rows.where("chunks is null").select(*carried, "text"))
+        cut = chunking.chunks(rows.where("chunks is null").select(*carried, "text"), splitter=self.chunker)
         split = rows.where("chunks is not null").select(*carried, F.posexplode("chunks").alias("ordinal", "text"), F.size("chunks").alias("many"))
         here = chunking.chunk_id(F.col("id"), F.col("ordinal"))
         given = split.select(here.alias("chunk_id"), F.col("id").alias("document_id"), "ordinal", "text", F.when(F.col("ordinal") > 0, here - 1).alias("prev"), F.when(F.col("ordinal") + 1 < F.col("many"), here + 1).alias("next"), *carried[1:])
@@ -177,6 +214,8 @@ class Engine:
         self.store.commit({}, domain_id, {
             "documents": rows, "chunks": made, "embeddings": self._embedded(made, domain.model), "document_hashes": rows.select("domain_id", "sha256", F.col("id").alias("document_id")),
         }, base)
+        stood, copies = placed.agg(F.count("id"), F.count_if(F.col("id").isNull())).first()
+        self.counts.update(ingested=stood, duplicates=copies)
         counts = made.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
         first_of = placed.where("id is not null").select("sha256", F.col("id").alias("own"))
         answer = placed.join(first_of.dropDuplicates(["sha256"]), "sha256", "left")
@@ -283,10 +322,20 @@ class Engine:
         return chunks.join(self.table("embeddings", domain_ids).select("chunk_id", "embedding"), "chunk_id", "left")
 
     def queries(self, model: str, texts: list[str | None], vectors: list[list[float] | None] | None = None) -> DataFrame:
-        """(query_id, text, vector): numbered from 0; a text without a vector is embedded."""
-        rows = [(k, t, (vectors or [None] * len(texts))[k]) for k, t in enumerate(texts)]
-        df = self.spark.createDataFrame(rows, "query_id long, text string, given array<float>")
-        return df.select("query_id", "text", F.coalesce("given", self.embedders[model](F.col("text"))).alias("vector"))
+        """(query_id, text, vector): numbered from 0; a text without a vector is embedded, unless it was lately."""
+        vectors = vectors or [None] * len(texts)
+        fresh = list(dict.fromkeys(t for t, v in zip(texts, vectors) if t is not None and v is None and (model, t) not in self._vectors))
+        found = {}
+        if fresh:
+            rows = self.spark.createDataFrame([(t,) for t in fresh], "text string").select("text", self.embedders[model](F.col("text")).alias("v")).collect()
+            found = {(model, r.text): r.v for r in rows}
+        known = [v if v is not None else found.get((model, t)) or self._vectors.get((model, t)) for t, v in zip(texts, vectors)]
+        for t in texts:  # the least lately asked goes first
+            if t is not None and (key := (model, t)) in (found.keys() | self._vectors.keys()):
+                self._vectors[key] = found.get(key) or self._vectors.pop(key)
+        while len(self._vectors) > REMEMBERED:
+            self._vectors.popitem(last=False)
+        return self.spark.createDataFrame([(k, t, v) for k, (t, v) in enumerate(zip(texts, known))], "query_id long, text string, vector array<float>")
 
     def search(self, domain_id: int, text: str | None = None, vector: list[float] | None = None, k: int = 10, labels: list[str] | None = None, match_all: bool = False,
                document_ids: list[int] | None = None, subdomain: str | None = None, filter: str | None = None, diversity: float = 0.0) -> DataFrame:
@@ -299,7 +348,10 @@ class Engine:
         subs = self.subdomain_ids(domain_id) if subdomain is not None else {}
         allowed = request_filter(labels, match_all, document_ids, subs.get(subdomain), subdomain is None or subdomain in subs, filter, self.tag_ids(domain_id))
         asked = self.queries(domain.model, [text], [vector])
-        return search(self.corpus([domain_id]), asked, k, allowed, diversity, self.reranker, index=self.index).orderBy("rank")
+        began = time.monotonic()
+        hits = search(self.corpus([domain_id]), asked, k, allowed, diversity, self.reranker, index=self.index).orderBy("rank")
+        self.counts.update(searches=1, search_ms=int(1000 * (time.monotonic() - began)))
+        return hits
 
     def search_multi(self, domain_ids: list[int], text: str | None = None, vector: list[float] | None = None, k: int = 10, filter: str | None = None, diversity: float = 0.0) -> DataFrame:
         """The best hits of several domains of one model, by raw score; a domain named twice counts once."""

@@ -75,6 +75,15 @@ def parse_duration(text: str) -> int | None:
     return int(number) * factor if number.isascii() and number.isdigit() else None
 
 
+def duration_seconds(text: Column) -> Column:
+    """parse_duration() of a column; null where it is no duration."""
+    trim = F.trim(text)
+    number = F.regexp_extract(trim, r"^([0-9]+)\s*[smhdw]?$", 1)
+    unit = F.regexp_extract(trim, r"([smhdw])$", 1)
+    factor = F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).when(unit == "w", 604800).otherwise(1)
+    return F.when(number != "", number.cast("long") * factor)
+
+
 def with_prefix(text: Column, model: str, query: bool) -> Column:
     """The text as the model wants it: some tell queries and passages apart by a prefix."""
     if not MODELS[model][1]:

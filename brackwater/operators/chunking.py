@@ -61,7 +61,7 @@ def chunks(docs: DataFrame, id_col: str = "id", text_col: str = "text", splitter
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts, rest_of = batch.column(0).to_pylist(), batch.column(1), batch.columns[2:]
             for at in range(0, batch.num_rows, 64):  # as many documents at a time
                 rows, base, ordinal, text, last = [], [], [], [], []
                 for k in range(at, min(at + 64, batch.num_rows)):
@@ -75,11 +75,11 @@ def chunks(docs: DataFrame, id_col: str = "id", text_col: str = "text", splitter
                     last += [False] * (len(found) - 1) + [True] * bool(found)
                     text += found
                 here = [(b << CHUNK_BITS) + o for b, o in zip(base, ordinal)]
-                own = batch.take(pa.array(rows, pa.int64()))
+                at_rows = pa.array(rows, pa.int64())
                 columns = [
                     pa.array(here, pa.int64()), pa.array(base, pa.int64()), pa.array(ordinal, pa.int32()), pa.array(text, pa.string()),
                     pa.array([i - 1 if o else None for i, o in zip(here, ordinal)], pa.int64()),
-                    pa.array([None if e else i + 1 for i, e in zip(here, last)], pa.int64()), *own.columns[2:],
+                    pa.array([None if e else i + 1 for i, e in zip(here, last)], pa.int64()), *(c.take(at_rows) for c in rest_of),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, out.names)
 

@@ -100,10 +100,10 @@ class Cells:
         count = unit.count()
         cells = max(1, min(cells or math.isqrt(count), max_cells, count))
         if cells == 1:
-            return cls(np.zeros((1, 1)), unit.withColumn("cell", F.lit(0)))
+            return cls(np.zeros((1, 1)), unit.drop("unit").withColumn("cell", F.lit(0)))
         fitted = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="v", predictionCol="cell").fit(unit.withColumn("v", array_to_vector("unit")))
         centers = np.array(fitted.clusterCenters())
-        return cls(centers, fitted.transform(unit.withColumn("v", array_to_vector("unit"))).drop("v"))
+        return cls(centers, stored(fitted.transform(unit.withColumn("v", array_to_vector("unit"))).drop("v", "unit"), "cells"))
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n cells nearest to each of the unit vectors x."""
@@ -162,7 +162,7 @@ class Cells:
             found = ranked(self._scored(rows, pending, k, probes), k)
             if probes == total:
                 return found if done is None else done.unionByName(found)
-            found = stored(found, "cells")
+            found = stored(found, "hits")
             full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
             settled = found.join(full, "query_id", "left_semi")
             done = settled if done is None else done.unionByName(settled)

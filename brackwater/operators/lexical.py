@@ -7,7 +7,6 @@ counted, and they are counted where the chunk lies before anything is shuffled.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +22,8 @@ from brackwater.schema import SCORE_DIGITS
 
 K1, B = 1.2, 0.75
 QUERY_BLOCK = 256
+#: What is sent to the tasks of one scan, about.
+SENT_BYTES = 64 << 20
 FOUND = "domain_id long, query_id long, chunk_id long, score double"
 
 
@@ -68,7 +69,7 @@ def scores(chunks: DataFrame, queries: DataFrame, allowed: Column | None = None)
     each = read.select("domain_id", "chunk_id", "may", F.size("t").alias("length"), F.explode("t").alias("term"))
     counted = each.join(wanted, "term").groupBy("domain_id", "chunk_id", "may", "length", "term").agg(F.count("*").alias("tf"))
     df = counted.groupBy("domain_id", "term").agg(F.count("*").alias("df"))
-    weights = df.join(F.broadcast(statistics(chunks)), "domain_id").select("domain_id", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    weights = df.join(broadcast_if_small(statistics(chunks)), "domain_id").select("domain_id", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     tf, length = F.col("tf").cast("double"), F.col("length")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("avgdl")))
     return (
@@ -96,72 +97,133 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[place < k], column[place < k]
 
 
-def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
-    """(query ids, their terms, terms x queries) of the queries that have a term, so many at a time."""
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
-    blocks = -(-asked.count() // block)
-    for b in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if got:
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK, most_bytes: int = SENT_BYTES) -> Iterator[list[tuple[np.ndarray, list[str], np.ndarray]]]:
+    """Groups of blocks of (query ids, their terms, terms x queries), of the queries that have a term.
+
+    A group is what one scan of the chunks is scored against, of about most_bytes.
+    """
+    asked = queries.select("query_id", F.array_distinct(_terms(queries)).alias("t")).where(F.size("t") > 0)
+    total, size = asked.agg(F.count("*"), F.sum(F.size("t"))).first()
+    groups = max(1, -(-(size or 0) * block // most_bytes))
+    for g in range(groups if total else 0):
+        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).collect()
+        blocks = []
+        for a in range(0, len(got), block):
+            part = got[a : a + block]
             place: dict[str, int] = {}
-            cells = [(place.setdefault(t, len(place)), q) for q, r in enumerate(got) for t in r.t]
-            table = np.zeros((len(place), len(got)))
-            table[tuple(np.array(cells).T)] = 1
-            yield np.array([r.query_id for r in got]), list(place), table
+            cells = [(place.setdefault(t, len(place)), q) for q, r in enumerate(part) for t in r.t]
+            table = np.zeros((len(place), len(part)), bool)
+            table[tuple(np.array(cells).T)] = True
+            blocks.append((np.array([r.query_id for r in part]), list(place), table))
+        if blocks:
+            yield blocks
+
+
+def _terms(rows: DataFrame) -> Column:
+    """The terms of each row: those of a column ``terms``, if it has been counted already, else of its text."""
+    return F.col("terms") if "terms" in rows.columns else tokens(F.col("text"))
+
+
+def domain_counts(read: DataFrame, terms: list[str]) -> dict[int, tuple[int, float, np.ndarray]]:
+    """domain -> (chunks, mean length, in how many chunks each term is), counted where the chunks lie in one scan."""
+    sent = read.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_set, seen = sent.value, {}
+        for batch in batches:
+            domain = batch.column(0).to_numpy(zero_copy_only=False)
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=value_set), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            cells = np.unique(row[term >= 0] * len(value_set) + term[term >= 0])
+            for d in np.unique(domain):
+                own = seen.setdefault(int(d), [0, 0, np.zeros(len(value_set), np.int64)])
+                mine = domain == d
+                own[0] += int(mine.sum())
+                own[1] += int(size[mine].sum())
+                own[2] += np.bincount(cells[mine[cells // len(value_set)]] % len(value_set), minlength=len(value_set))
+        for d, (n, length, df) in seen.items():
+            some = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some) + 1, d)), pa.array(np.append(some, -1)), pa.array(np.append(df[some], n)), pa.array(np.append(np.zeros(len(some), np.int64), length))], ["domain_id", "term", "n", "length"])
+
+    counted = read.select("domain_id", "t").mapInArrow(run, "domain_id long, term long, n long, length long")
+    out: dict[int, tuple[int, float, np.ndarray]] = {}
+    found = counted.groupBy("domain_id", "term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).toArrow()  # a row for each domain and term asked for
+    domain, term, n, length = (found[c].to_numpy() for c in ("domain_id", "term", "n", "length"))
+    for k in np.flatnonzero(term < 0):
+        own = np.flatnonzero((domain == domain[k]) & (term >= 0))
+        df = np.zeros(len(terms), np.int64)
+        df[term[own]] = n[own]
+        out[int(domain[k])] = (int(n[k]), length[k] / max(1, n[k]), df)
+    return out
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
     """(domain_id, query_id, chunk_id, score, rank) of the k best chunks of each domain for each query.
 
-    As scores(), but blocks of chunks are scored by arrays against QUERY_BLOCK queries at
-    a time, and each block's best k are all that is shuffled. The driver holds the
-    document frequency of a block's terms in each domain.
+    As scores(), but batches of chunks are scored by arrays against blocks of QUERY_BLOCK
+    queries, and each batch's best k are all that is shuffled: one scan counts what the
+    queries ask for, one scores, whatever the number of blocks that fit SENT_BYTES. The
+    driver holds the document frequency of the queries' terms in each domain. A column
+    ``terms`` of chunks is taken for the tokens of the text.
     """
     spark = chunks.sparkSession
     may = F.coalesce(allowed, F.lit(False)) if allowed is not None else F.lit(True)
-    read = chunks.select(F.col("domain_id").cast("long"), F.col("chunk_id").cast("long"), tokens(F.col("text")).alias("t"), may.alias("may"))
-    stats = {r.domain_id: r for r in statistics(chunks).collect()}
+    read = chunks.select(F.col("domain_id").cast("long"), F.col("chunk_id").cast("long"), _terms(chunks).alias("t"), may.alias("may"))
     out = None
-    for names, terms, table in query_blocks(queries):
-        wanted = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")
-        df = read.select("domain_id", F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(wanted), "term").groupBy("domain_id", "i").count().collect()
-        weight = {d: np.zeros(len(terms)) for d in stats}
-        for d, i, count in df:
-            weight[d][i] = math.log((stats[d].n - count + 0.5) / (count + 0.5) + 1)
-        mean = {d: max(float(r.avgdl or 0), 1e-9) for d, r in stats.items()}
-        sent = spark.sparkContext.broadcast((names, pa.array(terms), table, weight, mean))
+    for blocks in query_blocks(queries):
+        every = list(dict.fromkeys(t for _, terms, _ in blocks for t in terms))
+        place = {t: i for i, t in enumerate(every)}
+        counts = domain_counts(read, every)
+        weight = {d: np.log((n - df + 0.5) / (df + 0.5) + 1) for d, (n, _, df) in counts.items()}
+        mean = {d: max(length, 1e-9) for d, (_, length, _) in counts.items()}
+        ready = []
+        for names, terms, table in blocks:
+            here = np.full(len(every), -1, np.int32)
+            here[[place[t] for t in terms]] = np.arange(len(terms))
+            ready.append((names, here, table))
+        sent = spark.sparkContext.broadcast((pa.array(every, pa.string()), ready, weight, mean))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, terms, table, weight, mean = sent.value
-            cells = max(1, (32 << 20) // (8 * len(names)))
+            every, ready, weight, mean = sent.value
             for batch in batches:
                 domain, chunk = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-                size = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
-                term = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                size = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                term = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=every), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(batch.num_rows), size)
                 hit = (term >= 0) & batch.column(3).to_numpy(zero_copy_only=False)[row]
-                code, tf = np.unique(row[hit] * len(terms) + term[hit], return_counts=True)
-                row, term = code // len(terms), code % len(terms)
+                code, tf = np.unique(row[hit] * len(every) + term[hit], return_counts=True)
+                row, term = code // len(every), code % len(every)
                 for d in np.unique(domain[row]):
                     own = np.flatnonzero(domain[row] == d)
                     r, t, n = row[own], term[own], tf[own]
                     part = weight[d][t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[r] / mean[d]))
-                    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    a = 0
-                    while a < len(first):
-                        b = max(a + 1, int(np.searchsorted(first, first[a] + cells)) - 1) if first[-1] >= first[a] + cells else len(first)
-                        end = first[b] if b < len(first) else len(r)
-                        at = slice(first[a], end)
-                        score = np.round(np.add.reduceat(table[t[at]] * part[at, None], first[a:b] - first[a], axis=0), SCORE_DIGITS)
-                        ids = chunk[r[first[a:b]]]
-                        i, j = best(score, ids, k)
-                        keep = score[i, j] > 0
-                        i, j = i[keep], j[keep]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d)), pa.array(names[j]), pa.array(ids[i]), pa.array(score[i, j])], ["domain_id", "query_id", "chunk_id", "score"])
-                        a = b
+                    for names, here, table in ready:
+                        mine = np.flatnonzero(here[t] >= 0)
+                        yield from _scored(r[mine], here[t[mine]], part[mine], chunk, names, table, int(d), k)
 
         found = read.where(F.size("t") > 0).mapInArrow(run, FOUND)
         out = found if out is None else out.unionAll(found)
     if out is None:
         out = spark.createDataFrame([], FOUND)
     return ranked(out, k, ("domain_id", "query_id"))
+
+
+def _scored(row: np.ndarray, term: np.ndarray, part: np.ndarray, chunk: np.ndarray, names: np.ndarray, table: np.ndarray, domain: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows for each query of a block, from what each (row, term) adds to a score, in the order of the rows."""
+    cells = max(1, (32 << 20) // (8 * len(names)))
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + cells)) - 1) if first[-1] >= first[a] + cells else len(first)
+        end = first[b] if b < len(first) else len(row)
+        at = slice(first[a], end)
+        score = np.add.reduceat(table[term[at]] * part[at, None], first[a:b] - first[a], axis=0)
+        shared = score > 0  # a shared term always adds something, however little is left of it by rounding
+        score = np.round(score, SCORE_DIGITS)
+        ids = chunk[row[first[a:b]]]
+        i, j = best(np.where(shared, score, -1.0), ids, k)
+        keep = shared[i, j]
+        i, j = i[keep], j[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), domain)), pa.array(names[j]), pa.array(ids[i]), pa.array(score[i, j])], ["domain_id", "query_id", "chunk_id", "score"])
+        a = b

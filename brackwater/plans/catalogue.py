@@ -191,17 +191,17 @@ def _bm25(where: str) -> str:
 
 @register("bm25_topk", _bm25(""))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(C.plain_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10)
+    return lexical.search(C.indexed_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10)
 
 
 @register("bm25_filtered", _bm25("JOIN (SELECT doc_id FROM labels GROUP BY 1 HAVING max(quality) = 1) l ON l.doc_id = chunk_id // 1048576"))
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(C.tagged_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, compile_filter("tag:quality", C.TAGS))
+    return lexical.search(C.indexed_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, compile_filter("tag:quality", C.TAGS))
 
 
 def _cosine(where: str, score: str = "list_dot_product(q.e, c.e)") -> str:
     return (
-        _COSINE + f"s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round({score}, 6) + 0.0 AS score FROM u q CROSS JOIN u c {where})\n"
+        _COSINE + f"s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round({score}, 6) + 0.0 AS score FROM (SELECT * FROM u WHERE vec_id % 50 = 0) q CROSS JOIN u c {where})\n"
         "SELECT 1::BIGINT AS domain_id, query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10"
     )
 
@@ -240,17 +240,17 @@ _HITS = "domain_id, query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score"
 
 @register("dense_topk", "WITH RECURSIVE " + _CHUNKS + ",\n" + _DENSE + f" SELECT {_HITS} FROM dense WHERE rank <= 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.scan(C.embedded_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10)
+    return dense.scan(C.indexed_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10)
 
 
 @register("rrf_hybrid", _HYBRID + f" SELECT {_HITS} FROM fused WHERE rank <= 10")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(C.embedded_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, with_text=False)
+    return search(C.indexed_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, with_text=False)
 
 
 @register("search_multi", _HYBRID + " SELECT domain_id, query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM fused WHERE rank <= 10 QUALIFY rank() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10")
 def search_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_domains(search(C.embedded_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, with_text=False), 10)
+    return merge_domains(search(C.indexed_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, with_text=False), 10)
 
 
 _NOWHERE = "zzqx"
@@ -260,13 +260,13 @@ _NOWHERE = "zzqx"
 def hybrid_no_lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries' vectors with a word that no chunk has: scores stay cosines."""
     asked = C.queries(spark, sf_dir).withColumn("text", F.lit(_NOWHERE))
-    return search(C.embedded_chunks(spark, sf_dir), asked, 10, with_text=False)
+    return search(C.indexed_chunks(spark, sf_dir), asked, 10, with_text=False)
 
 
 @register("rerank_overlap", _HYBRID + ", pool AS (SELECT f.domain_id, f.query_id, f.chunk_id, f.rank AS old, len(list_intersect(" + _TOKENS % "c.text" + ", " + _TOKENS % "b.text" + "))::DOUBLE AS score FROM fused f JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 20)\n"
           "SELECT domain_id, query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY domain_id, query_id ORDER BY score DESC, old) AS rank FROM pool) WHERE rank <= 10")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(C.embedded_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, reranker=X.overlap_score, with_text=False)
+    return search(C.indexed_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, reranker=X.overlap_score, with_text=False)
 
 
 @register("search_snippets", _HYBRID + r""",
@@ -274,12 +274,24 @@ hit AS (SELECT f.*, c.text, list_min(list_filter(list_transform(list_filter(stri
   FROM fused f JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 10)
 SELECT query_id, chunk_id, CASE WHEN p IS NOT NULL THEN CASE WHEN p > 120 THEN '…' ELSE '' END || substr(text, greatest(p - 120, 0) + 1, least(p + 120, length(text)) - greatest(p - 120, 0)) || CASE WHEN p + 120 < length(text) THEN '…' ELSE '' END END AS snippet FROM hit""")
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(C.embedded_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10).select("query_id", "chunk_id", "snippet")
-
-
-@register("mmr_diverse")
+    return search(C.indexed_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10).select("query_id", "chunk_id", "snippet")
+
+
+@register("mmr_diverse", _HYBRID + """,
+unit AS (SELECT chunk_id, list_transform(range(64), lambda b: coalesce(m[b], 0.0)) AS e FROM (SELECT chunk_id, map(list(bucket), list(u)) AS m FROM c_unit GROUP BY 1)),
+pool AS (SELECT domain_id, query_id, list(chunk_id ORDER BY rank) AS ids, list(score ORDER BY rank) AS scores, list(e ORDER BY rank) AS es,
+    list_transform(list(score ORDER BY rank), lambda s: (s - min(score)) / greatest(max(score) - min(score), 1.1920928955078125e-07)) AS rel
+  FROM fused JOIN unit USING (chunk_id) WHERE rank <= 50 GROUP BY ALL),
+step AS (
+  SELECT domain_id, query_id, 0 AS rank, 0::BIGINT AS pick, []::BIGINT[] AS chosen, list_transform(ids, lambda i: 0.0::DOUBLE) AS alike FROM pool
+  UNION ALL
+  SELECT domain_id, query_id, rank + 1, pick, list_append(chosen, pick), list_transform(range(1, len(ids) + 1), lambda i: greatest(alike[i], list_dot_product(es[i], es[pick])))
+  FROM (SELECT *, CAST(list_position(worth, list_max(worth)) AS BIGINT) AS pick FROM (
+    SELECT p.*, s.rank, s.chosen, s.alike, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_contains(s.chosen, i) THEN -1e9 ELSE round(0.5 * rel[i] - 0.5 * s.alike[i], 12) END) AS worth
+    FROM step s JOIN pool p USING (domain_id, query_id) WHERE s.rank < least(10, len(ids)))))
+SELECT s.domain_id, s.query_id, CAST(rank AS INTEGER) AS rank, ids[pick] AS chunk_id, scores[pick] AS score FROM step s JOIN pool USING (domain_id, query_id) WHERE rank > 0""")
 def mmr_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(C.embedded_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, diversity=0.5, with_text=False)
+    return search(C.indexed_chunks(spark, sf_dir), C.queries(spark, sf_dir), 10, diversity=0.5, with_text=False)
 
 
 # --- filters -------------------------------------------------------------------------
@@ -288,7 +300,7 @@ def mmr_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _filter(name: str, text: str, where: str) -> None:
     @register(name, _TAGGED + f"SELECT domain_id, chunk_id FROM full_chunks WHERE {where}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return C.tagged_chunks(spark, sf_dir).where(compile_filter(text, C.TAGS)).select("domain_id", "chunk_id")
+        return C.allowed_chunks(spark, sf_dir, compile_filter(text, C.TAGS)).select("domain_id", "chunk_id")
 
 
 _filter("filter_tag", "tag:toxic", "toxic")
@@ -300,18 +312,18 @@ _filter("filter_nested", "(tag:quality OR tag:toxic) AND NOT (meta.lang:en OR me
 
 @register("filter_tags_any", _TAGGED + "SELECT chunk_id FROM full_chunks WHERE quality OR toxic")
 def filter_tags_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tagged_chunks(spark, sf_dir).where(request_filter(["quality", "toxic", "unknown"], tag_ids=C.TAGS)).select("chunk_id")
+    return C.allowed_chunks(spark, sf_dir, request_filter(["quality", "toxic", "unknown"], tag_ids=C.TAGS)).select("chunk_id")
 
 
 @register("filter_tags_all", _TAGGED + "SELECT chunk_id FROM full_chunks WHERE quality AND toxic")
 def filter_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tagged_chunks(spark, sf_dir).where(request_filter(["quality", "toxic"], match_all=True, tag_ids=C.TAGS)).select("chunk_id")
+    return C.allowed_chunks(spark, sf_dir, request_filter(["quality", "toxic"], match_all=True, tag_ids=C.TAGS)).select("chunk_id")
 
 
 @register("filter_subdomain", _TAGGED + "SELECT chunk_id FROM full_chunks WHERE source = 'src3' AND NOT quality")
 def filter_subdomain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.tagged_chunks(spark, sf_dir).withColumn("subdomain_id", F.regexp_extract("subdomain", "(\\d+)$", 1).try_cast("long"))
-    return rows.where(request_filter(subdomain_id=3, filter_text="NOT tag:quality", tag_ids=C.TAGS)).select("chunk_id")
+    docs = C.documents(spark, sf_dir).withColumns({"document_id": F.col("id"), "subdomain_id": F.regexp_extract("subdomain", "(\\d+)$", 1).try_cast("long")})
+    return chunking.chunks(docs.where(request_filter(subdomain_id=3, filter_text="NOT tag:quality", tag_ids=C.TAGS))).select("chunk_id")
 
 
 # --- the state of the tables ---------------------------------------------------------
@@ -333,9 +345,7 @@ def delete_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("delete_subdomain", "WITH RECURSIVE " + _CHUNKS + " SELECT chunk_id FROM chunks JOIN documents ON doc_id = document_id WHERE source IS DISTINCT FROM 'src0'")
 def delete_subdomain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the chunks when a topic goes with its documents."""
-    docs = C.documents(spark, sf_dir)
-    gone = docs.where("subdomain = 'src0'").select("id")
-    return chunking.chunks(docs.join(gone, "id", "left_anti")).select("chunk_id")
+    return C.allowed_chunks(spark, sf_dir, ~F.col("subdomain").eqNullSafe("src0")).select("chunk_id")
 
 
 @register("update_document", "WITH " + _TAGS + " SELECT doc_id AS document_id, CASE WHEN source = 'src1' THEN 'moved' ELSE source END AS subdomain FROM documents")
@@ -355,7 +365,16 @@ def is_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", E.is_supported(F.col("url")).alias("supported"))
 
 
-@register("extract_html")
+_BREAK = "(p|div|br|li|ul|ol|table|tr|h[1-6]|section|article|header|footer|main|nav|aside|pre|blockquote|hr|dt|dd|figure|form|title)"
+_SHOWN = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(10), ' '), '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<![^>]*>', '', 'g'), '</?"
+    + _BREAK + r"( [^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+)
+_DECODED = "replace(replace(replace(replace(replace(replace(" + _SHOWN + ", '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_EVEN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(%s, '[\t\x0b\f\r\x85\p{Z}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@register("extract_html", "SELECT page_id, " + _EVEN % _DECODED + " AS text, CAST(NULL AS VARCHAR) AS error FROM pages")
 def extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").select("page_id", F.lit("page.html").alias("path"), F.encode("html", "UTF-8").alias("content"))
     return E.extract(pages).select("page_id", "text", "error")

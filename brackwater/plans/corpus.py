@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.functions.text import mock_embedding
+from brackwater.functions.text import mock_embedding, tokens
 from brackwater.operators.chunking import chunks
-from brackwater.sources.shared import spread, stored
+from brackwater.sources.shared import kept, spread
 
 DOMAINS = {"de": 1, "en": 2, "es": 3, "fr": 4}
 OTHER_DOMAIN = 5
@@ -39,9 +39,20 @@ def tagged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(documents(spark, sf_dir))
 
 
-def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """plain_chunks() with embedding, as a table: texts are cut and embedded once, however often a search reads them."""
-    return stored(plain_chunks(spark, sf_dir).withColumn("embedding", mock_embedding(DIM)(F.col("text"))), "chunks")
+def allowed_chunks(spark: SparkSession, sf_dir: str, allowed: Column) -> DataFrame:
+    """tagged_chunks() that a predicate on documents allows; only allowed documents are cut."""
+    docs = documents(spark, sf_dir).withColumn("document_id", F.col("id"))
+    return chunks(docs.where(allowed))
+
+
+def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tagged_chunks() with embedding and terms, as a table: texts are cut, embedded and split into terms once, however many queries read them."""
+
+    def make(path: str) -> None:
+        text = F.col("text")
+        tagged_chunks(spark, sf_dir).withColumns({"embedding": mock_embedding(DIM)(text), "terms": tokens(text)}).write.parquet(path)
+
+    return spark.read.parquet(kept(spark, (sf_dir, "chunks"), make))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +68,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding as a query."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """Each embedding whose id is divisible by 50, as a query against all."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0")
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))

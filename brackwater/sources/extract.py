@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brackwater.sources.pdf import PdfError, pdf_text
+
 PLAIN = ("txt", "text", "md", "markdown", "csv", "tsv", "log")
 HTML = ("html", "htm", "xhtml")
 SHEETS = ("xlsx", "xlsm", "xlsb", "xls", "ods")
@@ -102,16 +104,48 @@ def xlsx_text(data: bytes) -> str:
                         value = "".join(t.text or "" for t in c.iter() if _tag(t) in ("v", "t"))
                         cells[at] = shared[int(value)] if c.get("t") == "s" and value else {"1": "true", "0": "false"}.get(value, value) if c.get("t") == "b" else value
                     rows.append(cells)
-                used = [k for r in rows for k, v in r.items() if v]
-                for r in rows:
-                    line = " | ".join(r.get(k, "") for k in range(min(used), max(used) + 1)) if used else ""
-                    if any(r.values()):
-                        out.append(line)
+                out += sheet_lines(rows)
             return "\n".join(out) + "\n"
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, StopIteration) as e:
         raise ExtractError(f"spreadsheet: {e}") from e
 
 
+def ods_text(data: bytes) -> str:
+    """As xlsx_text(), of an open spreadsheet."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            root = ElementTree.fromstring(z.read("content.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+        raise ExtractError(f"spreadsheet: {e}") from e
+
+    def own(e: ElementTree.Element, name: str) -> str | None:
+        return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
+
+    out = []
+    for table in (e for e in root.iter() if _tag(e) == "table"):
+        out.append("# " + (own(table, "name") or ""))
+        rows: list[dict[int, str]] = []
+        for row in (e for e in table.iter() if _tag(e) == "table-row"):
+            cells: dict[int, str] = {}
+            at = 0
+            for c in (e for e in row if _tag(e) in ("table-cell", "covered-table-cell")):
+                kind, many = own(c, "value-type"), int(own(c, "number-columns-repeated") or 1)
+                text = "\n".join("".join(p.itertext()) for p in c if _tag(p) == "p")
+                text = own(c, "boolean-value") or text if kind == "boolean" else own(c, "value") or text if kind in ("float", "currency", "percentage") else text
+                if text:
+                    cells |= {at + k: text for k in range(many)}
+                at += many
+            rows += [cells] * (int(own(row, "number-rows-repeated") or 1) if cells else 1)
+        out += sheet_lines(rows)
+    return "\n".join(out) + "\n"
+
+
+def sheet_lines(rows: list[dict[int, str]]) -> list[str]:
+    """A line for each row that isn't blank, over the columns that some row uses."""
+    used = [k for r in rows for k, v in r.items() if v]
+    return [" | ".join(r.get(k, "") for k in range(min(used), max(used) + 1)) for r in rows if any(r.values())]
+
+
 def raw_text(name: str, data: bytes) -> str:
     """The text of a file, before white space is normalised."""
     kind = name.rpartition(".")[2].lower()
@@ -123,6 +157,13 @@ def raw_text(name: str, data: bytes) -> str:
         return docx_text(data)
     if kind in ("xlsx", "xlsm"):
         return xlsx_text(data)
+    if kind == "ods":
+        return ods_text(data)
+    if kind == "pdf":
+        try:
+            return pdf_text(data)
+        except PdfError as e:
+            raise ExtractError(f"pdf: {e}") from e
     if kind == "doc":
         raise ExtractError("the old .doc format is not read; save it as .docx or .pdf")
     if kind in SUPPORTED:

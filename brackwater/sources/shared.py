@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[str], None]) -> str:
+    """The path of what make() wrote for this key in this application; it is made again if the folder is gone."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key in _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made[key])
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return _made[key]
+    path = shared_path(spark, str(key[-1]))
+    make(path)
+    _made[key] = path
+    return path
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over all cores, if it comes in fewer parts than there are cores, as a table of one small file does."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.sources.store import Store
@@ -27,6 +27,11 @@ def want_full(count: int, full_every: int) -> bool:
     return full_every <= 1 or count % full_every == 1
 
 
+def kind_of_backup(count: Column, full_every: int) -> Column:
+    """want_full() of a column, by the names of the kinds."""
+    return F.when(F.lit(full_every <= 1) | (count % max(full_every, 1) == 1), "full").otherwise("differential")
+
+
 class Snapshots:
     """The backups of a store in a folder of their own."""
 

@@ -83,6 +83,8 @@ def test_batches_keep_the_first_of_each_content(spark, engine):
     assert [k for k in sorted(got) if not got[k][1]] == list(range(7))
     assert all(got[k][0] == got[k % 7][0] for k in got)
     assert [r.title for r in engine.page("documents", d, 2, 3).collect()] == ["t2", "t3", "t4"]
+    assert engine.page("documents", d, -1, 900).count() == 7 and engine.page("documents", d, 0, 5, most=4).count() == 4 and engine.page("documents", d, 0, 5, most=None).count() == 5
+    assert engine.counts["ingested"] == 7 and engine.counts["duplicates"] == 33
 
 
 def test_versions_and_backups(engine, tmp_path):
@@ -157,6 +159,44 @@ def test_the_queue(spark, engine, tmp_path):
     assert engine.table("documents").count() == 3 and engine.table("jobs").count() == 5
 
 
+def test_a_bad_request_fails_alone(spark, tmp_path):
+    def chunker(text):
+        if "poison" in text:
+            raise ValueError("can't be cut")
+        return [text]
+
+    engine = Engine(spark, f"file://{tmp_path}/store", chunker=chunker)
+    d = engine.create_domain("q")
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    jobs = [{"job_id": k, "domain_id": d, "text": "poison" if k == 2 else f"body {k}"} for k in range(4)] + [{"domain_id": d, "text": "no id"}]
+    (inbox / "1.json").write_text("\n".join(map(json.dumps, jobs)) + "\n{broken")
+    ingest_stream(engine, f"file://{inbox}", f"file://{tmp_path}/cp", max_attempts=1).awaitTermination()
+    rows = {r.id: r for r in engine.table("jobs").collect()}
+    assert {k: r.status for k, r in rows.items()} == {0: "Done", 1: "Done", 2: "Failed", 3: "Done"}
+    assert rows[2].error and engine.count("documents") == 3 == engine.count("chunks", d)
+
+
+def test_embedded_queries_are_remembered(spark, tmp_path):
+    from brackwater import engine as module
+    from brackwater.functions.text import mock_embedding
+
+    asked = []
+
+    def embedder(text):
+        asked.append(1)
+        return mock_embedding(64)(text)
+
+    e = Engine(spark, f"file://{tmp_path}/store", embedders={"mock": embedder})
+    first = e.queries("mock", ["a", "b", None, "a"], [None, None, [1.0], None]).collect()
+    again = e.queries("mock", ["b", "a"]).collect()
+    assert len(asked) == 1 and first[0].vector == first[3].vector == again[1].vector and first[2].vector == [1.0]
+    e.queries("mock", ["c"])
+    assert len(asked) == 2 and len(e._vectors) == 3
+    e.queries("mock", [f"text {k}" for k in range(module.REMEMBERED + 5)])
+    assert len(e._vectors) == module.REMEMBERED
+
+
 def test_jobs_as_rows(spark):
     events = spark.createDataFrame([(1, 1, "claim"), (1, 2, "done"), (2, 1, "claim"), (3, 1, "claim"), (3, 2, "fail"), (4, 1, "claim"), (4, 2, "claim"), (4, 3, "claim"), (4, 4, "fail")], "job_id long, ts long, event_type string")
     assert {r.job_id: (r.status, r.attempts) for r in lifecycle(events).collect()} == {1: ("Done", 1), 2: ("Running", 1), 3: ("Pending", 1), 4: ("Failed", 3)}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from brackwater.plans.catalogue import ORACLE_SQL, QUERIES
+from brackwater.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "documents embeddings pages benchmark labels conversations events".split()
 
