@@ -4,13 +4,16 @@ Copies of one text are a group and never parted; groups come in the order of the
 least doc_id. The smallest capacity for which greedy filling needs at most the wanted
 number of shards is found by binary search, and the groups are cut there. The sorted
 group sizes stay in a shared table; the driver holds one total for each block of
-groups and a bounded number of blocks, which a greedy step looks up.
+groups and a bounded number of blocks, which a greedy step looks up. Blocks are read
+many at a time: with one that is missing those that the later shards will end in, if
+each is filled.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +26,40 @@ from brackwater.llm.scratch import Scratch
 
 SHARDS = 64
 BLOCK = 1 << 16
-BLOCKS_HELD = 64
+BLOCKS_HELD = 256
 
 
 class Sizes:
     """Group sizes in order, read by blocks."""
 
-    def __init__(self, totals: np.ndarray, counts: np.ndarray, fetch):
+    def __init__(self, totals: np.ndarray, counts: np.ndarray, fetch: Callable[[list[int]], dict[int, np.ndarray]]):
         self.before = np.concatenate([[0], np.cumsum(totals)])
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.fetch = fetch
         self.held: OrderedDict[int, np.ndarray] = OrderedDict()
 
-    def block(self, b: int) -> np.ndarray:
-        """The running totals in a block."""
+    def block(self, b: int, later: list[int]) -> np.ndarray:
+        """The running totals in a block; if it has to be read, so are those of the others that aren't held."""
         if b not in self.held:
-            self.held[b] = np.cumsum(self.fetch(b))
-            if len(self.held) > BLOCKS_HELD:
+            wanted = list(dict.fromkeys([b, *(k for k in later if k not in self.held)]))[:BLOCKS_HELD]
+            found = self.fetch(wanted)
+            for k in reversed(wanted):
+                self.held[k] = np.cumsum(found[k])
+            while len(self.held) > BLOCKS_HELD:
                 self.held.popitem(last=False)
         self.held.move_to_end(b)
         return self.held[b]
 
-    def reach(self, limit: int) -> tuple[int, int]:
-        """(groups, their total) of the longest prefix whose total is at most the limit."""
-        b = int(np.searchsorted(self.before, limit, "right")) - 1
-        if b >= len(self.before) - 1:
+    def at(self, limit: int) -> int:
+        """The block that a running total falls in; one more than there are beyond them all."""
+        return int(np.searchsorted(self.before, limit, "right")) - 1
+
+    def reach(self, limit: int, capacity: int, left: int) -> tuple[int, int]:
+        """(groups, their total) of the longest prefix whose total is at most the limit; so many shards of this capacity may follow."""
+        b, last = self.at(limit), len(self.before) - 1
+        if b >= last:
             return int(self.first[-1]), int(self.before[-1])
-        run = self.block(b)
+        run = self.block(b, [k for j in range(1, left) if (k := self.at(limit + j * capacity)) < last])
         k = int(np.searchsorted(run, limit - self.before[b], "right"))
         return int(self.first[b]) + k, int(self.before[b]) + (int(run[k - 1]) if k else 0)
 
@@ -57,8 +67,8 @@ class Sizes:
 def cuts(sizes: Sizes, capacity: int, most: int) -> list[int] | None:
     """The group at which each shard but the first begins, filled greedily; none if it takes more than most shards."""
     out, total, groups = [], 0, int(sizes.first[-1])
-    for _ in range(most):
-        at, total = sizes.reach(total + capacity)
+    for n in range(most):
+        at, total = sizes.reach(total + capacity, capacity, most - n)
         if at >= groups:
             return out
         out.append(at)
@@ -86,8 +96,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, scratch: Scratch | None = None
     texts, capacity the most bytes that a shard may hold. Null texts are one group of
     no bytes, empty texts another. A null doc_id orders first, groups of equal least
     doc_id by the hash of their text. Repeated rows each count and get the same shard;
-    with fewer groups than shards, shards stay unused. An empty table gives an empty
-    result; other columns are not read.
+    with fewer groups than shards, shards stay unused. A text of any length counts
+    whole. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "shards")
@@ -111,10 +121,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, scratch: Scratch | None = None
         .orderBy("part", "b").collect()
     )  # fmt: skip - one row for each 65536 groups
 
-    def fetch(k: int) -> np.ndarray:
-        lo = blocks[k]["b"] * BLOCK
-        own = order.where((F.col("part") == blocks[k]["part"]) & F.col("at").between(lo, lo + BLOCK - 1)).select("at", "size").toArrow()
-        return own.sort_by("at")["size"].to_numpy()
+    def fetch(wanted: list[int]) -> dict[int, np.ndarray]:
+        places = {(blocks[k]["part"], blocks[k]["b"]): k for k in wanted}
+        one_of = reduce(lambda a, b: a | b, ((F.col("part") == p) & F.col("at").between(b * BLOCK, (b + 1) * BLOCK - 1) for p, b in places))
+        own = order.where(one_of).select("part", "at", "size").toArrow()
+        part, at, size = (own[c].to_numpy() for c in ("part", "at", "size"))
+        out = {}
+        for (p, b), k in places.items():
+            mine = np.flatnonzero((part == p) & (at // BLOCK == b))
+            out[k] = size[mine[np.argsort(at[mine])]]
+        return out
 
     sizes = Sizes(np.array([b["total"] for b in blocks], np.int64), np.array([b["n"] for b in blocks], np.int64), fetch)
     capacity = smallest_capacity(sizes, max([b["largest"] for b in blocks], default=0), shards)
@@ -137,3 +153,27 @@ def assign(docs: DataFrame, shards: int = SHARDS, scratch: Scratch | None = None
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of each row of the whole documents table."""
     return assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same for the 64 shards of query().
+SQL = r"""
+WITH RECURSIVE g AS (SELECT text, min(doc_id) FILTER (WHERE true) AS low, bool_or(doc_id IS NULL) AS void, sum(coalesce(strlen(text), 0)) AS size FROM documents GROUP BY text),
+o AS (SELECT text, CASE WHEN NOT void THEN low END AS first_id, size, sum(size) OVER w AS upto, sum(size) OVER w - size AS before, row_number() OVER w AS n
+  FROM g WINDOW w AS (ORDER BY CASE WHEN NOT void THEN low END NULLS FIRST, coalesce(md5(text), '') ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT list(CAST(upto AS BIGINT) ORDER BY n) AS ends, CAST(sum(size) AS BIGINT) AS total, CAST(max(size) AS BIGINT) AS largest FROM o),
+-- the search for the least capacity: one step fills one shard of the capacity (lo + hi) // 2
+s AS (
+  SELECT greatest(largest, (total + 63) // 64) AS lo, (total + 63) // 64 + largest AS hi, 0::BIGINT AS reached, 0 AS used FROM l
+  UNION ALL
+  SELECT CASE WHEN reach < total AND used = 63 THEN c + 1 ELSE lo END, CASE WHEN reach >= total THEN c ELSE hi END,
+    CASE WHEN reach >= total OR used = 63 THEN 0 ELSE reach END, CASE WHEN reach >= total OR used = 63 THEN 0 ELSE used + 1 END
+  FROM (SELECT *, coalesce(list_max(list_filter(ends, lambda x: x <= reached + c)), 0) AS reach FROM (SELECT *, (lo + hi) // 2 AS c FROM s WHERE lo < hi) t, l)),
+best AS (SELECT min(hi) AS capacity FROM s),
+f AS (
+  SELECT 0::BIGINT AS reached, 0 AS shard, 0::BIGINT AS start FROM l
+  UNION ALL
+  SELECT reach, shard + 1, reach FROM (SELECT shard, coalesce(list_max(list_filter(ends, lambda x: x <= reached + capacity)), 0) AS reach FROM f, l, best) t, l WHERE reach < total),
+cut AS (SELECT o.*, (SELECT max(shard) FROM f WHERE f.start <= o.before) AS shard FROM o)
+SELECT d.doc_id, c.first_id, CAST(c.size AS BIGINT) AS group_bytes, CAST(c.shard AS INTEGER) AS shard, CAST(capacity AS BIGINT) AS capacity
+FROM documents d JOIN cut c ON d.text IS NOT DISTINCT FROM c.text, best
+"""

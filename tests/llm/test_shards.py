@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from brackwater.llm import shards
 
 
@@ -45,8 +47,34 @@ def test_blocks_hold_any_number_of_groups(docs_of, monkeypatch):
     assert got[0][3] == least_capacity([g[1] for g in got], 5)
 
 
+def test_few_reads_find_the_capacity():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 5000, 40_000)
+    sizes[7] = 900_000
+    blocks = np.array_split(sizes, 400)
+    reads = []
+
+    def fetch(wanted):
+        reads.append(wanted)
+        return {k: blocks[k] for k in wanted}
+
+    held = shards.Sizes(np.array([b.sum() for b in blocks]), np.array([len(b) for b in blocks]), fetch)
+    capacity = shards.smallest_capacity(held, int(sizes.max()), 64)
+
+    def shards_for(c):
+        used, load = 1, 0
+        for x in sizes.tolist():
+            used, load = (used, load + x) if load + x <= c else (used + 1, x)
+        return used
+
+    assert shards_for(capacity) <= 64 < shards_for(capacity - 1)
+    assert len(reads) < 40
+
+
 def test_odd_rows(docs_of, clash):
     rows = [(1, None), (2, None), (3, ""), (None, "abc"), (4, "abc"), (5, "de"), (5, "de"), (6, "ü")]
+    long = [(1, "x" * 3_000_000), (2, "a"), (3, "b"), (4, "x" * 3_000_000), (5, "c")]
+    assert [(r.doc_id, r.shard, r.capacity) for r in shards.assign(docs_of(long), 2).orderBy("doc_id").collect()] == [(1, 0, 6_000_000), (2, 1, 6_000_000), (3, 1, 6_000_000), (4, 0, 6_000_000), (5, 1, 6_000_000)]
     got = {(r.doc_id, r.first_id, r.group_bytes) for r in shards.assign(clash(docs_of(rows)), 3).collect()}
     assert got == {(1, 1, 0), (2, 1, 0), (3, 3, 0), (None, None, 6), (4, None, 6), (5, 5, 4), (6, 6, 2)}
     assert shards.assign(docs_of(rows)).count() == 8
