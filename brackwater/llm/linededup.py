@@ -33,6 +33,7 @@ from brackwater.sources.shared import spread
 
 MIN_WORDS = 50
 BROADCAST_BYTES = 64 << 20
+BROADCAST_ROWS = 1_000_000
 SOLID = np.ones(256, bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
 
@@ -74,25 +75,33 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def ranked(active: DataFrame, scratch: Scratch) -> DataFrame:
-    """active with off, the place of each suffix among those that begin with line h, and cap, above its common prefixes."""
+    """active with off, the place of each suffix among those that begin with line h, and cap, above its common prefixes.
+
+    A round writes only the suffixes that it moves; those that are alone in their group
+    stay where they were written last.
+    """
     now = active.withColumn("off", F.lit(0).cast("long")).withColumn("cap", F.lit(1)).withColumn("size", F.count("*").over(Window.partitionBy("h")))
-    now, k = scratch.save(now, "rank"), 0
-    while not now.where("size > 1").isEmpty():
-        ahead = now.select("d", (F.col("i") - (1 << k)).alias("i"), F.col("h").alias("h2"), F.col("off").alias("off2"))
+    now = scratch.save(now, "rank")
+    settled, k = now.where("size = 1"), 0
+    while left := now.where("size > 1").count():
+        tied = now.where("size > 1")
+        ahead = settled.unionByName(tied).select("d", "i", F.col("h").alias("h2"), F.col("off").alias("off2"))
+        if left <= BROADCAST_ROWS:  # 16 bytes each: only the places that are looked up go through the shuffle
+            ahead = ahead.join(F.broadcast(tied.select("d", (F.col("i") + (1 << k)).alias("i"))), ["d", "i"], "left_semi")
+        ahead = ahead.withColumn("i", F.col("i") - (1 << k))
         group = Window.partitionBy("h", "off")
         # a suffix that ends here is alone, and comes first, in the order of its end
         end = F.when(F.col("h2").isNull(), F.struct("d", "i"))
         order = group.orderBy(F.col("h2").asc_nulls_first(), F.col("off2").asc_nulls_first(), end.asc_nulls_last())
         moved = (
-            now.where("size > 1").drop("size", "cap").join(ahead, ["d", "i"], "left")
+            tied.drop("size", "cap").join(ahead, ["d", "i"], "left")
             .withColumn("new", F.col("off") + F.rank().over(order) - 1)
             .drop("h2", "off2", "off").withColumnRenamed("new", "off")
             .withColumn("cap", F.lit(2 << k)).withColumn("size", F.count("*").over(group))
         )
-        after = scratch.save(now.where("size = 1").unionByName(moved), "rank")
-        scratch.drop(now)
-        now, k = after, k + 1
-    return now.drop("size")
+        now, k = scratch.save(moved, "rank"), k + 1
+        settled = settled.unionByName(now.where("size = 1"))
+    return settled.drop("size")
 
 
 def common_prefixes(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -171,20 +180,35 @@ def longest_previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def covered(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """The rows of (doc, d, i, line, words, run), ordered by (d, i), that lie in a run of enough words."""
-    table = pa.Table.from_batches(list(batches))
-    n = table.num_rows
-    if not n:
-        return
-    words, run = (table[c].to_numpy() for c in ("words", "run"))
-    total = np.concatenate([[0], np.cumsum(words)])
-    start = np.flatnonzero(run)
-    end = start + run[start]
-    long = total[end] - total[start] >= min_words
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, start[long], 1)
-    np.add.at(change, end[long], -1)
-    yield from table.select(["doc", "d", "i", "line", "words"]).filter(pa.array(np.cumsum(change[:-1]) > 0)).to_batches()
+    """The rows of (doc, d, i, line, words, run), ordered by (d, i), that lie in a run of enough words; some documents at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        words, run = (table[c].to_numpy() for c in ("words", "run"))
+        total = np.concatenate([[0], np.cumsum(words)])
+        start = np.flatnonzero(run)
+        end = start + run[start]
+        long = total[end] - total[start] >= min_words
+        change = np.zeros(table.num_rows + 1, np.int64)
+        np.add.at(change, start[long], 1)
+        np.add.at(change, end[long], -1)
+        yield from table.select(["doc", "d", "i", "line", "words"]).filter(pa.array(np.cumsum(change[:-1]) > 0)).to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        d = batch.column(1).to_numpy()
+        new = np.flatnonzero(d[1:] != d[:-1])
+        cut = int(new[-1]) + 1 if len(new) else 0  # where the last document of the batch begins
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held and (cut or held[-1].column(1)[-1].as_py() != d[0]):
+            yield from settle()
+            held.clear()
+        held.append(batch.slice(cut))
+    if held:
+        yield from settle()
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
@@ -277,3 +301,19 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages in the whole documents table."""
     return repeated_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")).select("doc_id", "lines", "words")
+
+
+#: The same by comparing every pair of places of one line.
+SQL = r"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM docs),
+solid AS (SELECT doc_id, text, line, regexp_replace(l, '^[ \t\x0b\f\r]+|[ \t\x0b\f\r]+$', '', 'g') AS l FROM split),
+placed AS (SELECT doc_id, line, l, len(string_split_regex(l, '[ \t\x0b\f\r]+')) AS words,
+    row_number() OVER (PARTITION BY doc_id, text ORDER BY line) AS i, row_number() OVER (ORDER BY doc_id NULLS FIRST, text, line) AS place, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, text) AS d
+  FROM solid WHERE l <> ''),
+pairs AS (SELECT a.d AS first_d, b.d, b.i - a.i AS apart, b.i, b.words FROM placed a JOIN placed b ON a.l = b.l AND a.place < b.place),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY first_d, d, apart ORDER BY i) AS run FROM pairs),
+long AS (SELECT d, min(i) AS lo, max(i) AS hi FROM runs GROUP BY first_d, d, apart, run HAVING sum(words) >= 50),
+gone AS (SELECT DISTINCT d, p.i, p.doc_id, p.line, p.words FROM placed p JOIN long USING (d) WHERE p.i BETWEEN lo AND hi)
+SELECT doc_id, list_sort(list(CAST(line AS INTEGER))) AS lines, CAST(sum(words) AS BIGINT) AS words FROM gone GROUP BY d, doc_id
+"""

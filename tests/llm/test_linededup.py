@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from brackwater.llm import linededup
 
 
@@ -55,6 +57,36 @@ def test_lines_are_those_of_brute_force(docs_of, words):
     assert got == brute(rows)
 
 
+def test_rounds_without_a_broadcast(docs_of, words, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    rows = corpus(words)
+    assert {r.doc_id: set(r.lines) for r in linededup.repeated_lines(docs_of(rows)).collect()} == brute(rows)
+
+
+def test_runs_are_covered_whatever_the_batches():
+    d = random.Random(6)
+    rows = []
+    for doc in range(30):
+        n = d.randint(1, 40)
+        rows += [(doc, 100 - doc, i, 2 * i, d.randint(1, 9), d.choice((0, 0, 0, d.randint(1, n - i)))) for i in range(n)]
+    names = ["doc", "d", "i", "line", "words", "run"]
+    want = set()
+    for doc, key, i, _, _, run in rows:
+        own = [r for r in rows if r[0] == doc and i <= r[2] < i + run]
+        if run and sum(r[4] for r in own) >= 20:
+            want.update(r[:5] for r in own)
+    table = pa.table({n: pa.array([r[k] for r in rows]) for k, n in enumerate(names)})
+    for size in (1, 7, 64, 5000):
+        got = {tuple(r.values()) for b in linededup.covered(iter(table.to_batches(size)), 20) for r in b.to_pylist()}
+        assert got == want and want
+
+
+def test_other_columns_may_have_any_name(docs_of, words, clash):
+    rows = corpus(words)
+    got = {r.doc_id: set(r.lines) for r in linededup.repeated_lines(clash(docs_of(rows))).collect()}
+    assert got == brute(rows)
+
+
 def test_dedup_follows_the_lines(docs_of, words, clash):
     rows = corpus(words)
     docs = clash(docs_of(rows))
