@@ -323,3 +323,27 @@ def reject(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the benchmark table in the whole documents table."""
     return find(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The same by the textbook's table of edits for every pair that shares enough words.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+items AS (SELECT row_number() OVER () AS t, item_id, w, len(w) AS n, CAST(floor(0.2 * len(w) + 1e-9) AS INTEGER) AS k FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)) WHERE len(w) > 0),
+-- a match keeps enough of the item's words: what has fewer can't be one
+item_words AS (SELECT t, n, k, unnest(list_distinct(w)) AS x FROM items),
+doc_words AS (SELECT r, unnest(list_distinct(w)) AS x FROM d),
+may AS (SELECT r, t FROM item_words JOIN doc_words USING (x) GROUP BY r, t HAVING count(*) >= (SELECT len(list_distinct(w)) - k FROM items i WHERE i.t = item_words.t)),
+texts AS (SELECT r, t, j, w[j] AS x FROM (SELECT r, t, w, unnest(range(1, len(w) + 1)) AS j FROM may JOIN d USING (r))),
+-- the textbook's table of least edits of the first i words of the item to any passage that ends at word j, a row at a time
+dp AS (
+  SELECT 0 AS i, r, t, 0::BIGINT AS j, NULL::VARCHAR AS x, 0 AS v FROM may
+  UNION ALL
+  SELECT 0, r, t, j, x, 0 FROM texts
+  UNION ALL
+  SELECT i, r, t, j, x, CAST(min(u - j) OVER (PARTITION BY r, t ORDER BY j ROWS UNBOUNDED PRECEDING) + j AS INTEGER)
+  FROM (SELECT i + 1 AS i, r, t, j, x, least(v + 1, coalesce(lag(v) OVER (PARTITION BY r, t ORDER BY j) + CASE WHEN x = word THEN 0 ELSE 1 END, v + 1)) AS u
+        FROM (SELECT dp.*, w[i + 1] AS word FROM dp JOIN items USING (t) WHERE i < n) s) q
+),
+last AS (SELECT r, t, min(v) AS distance, arg_min(j, (v, j)) AS end_word FROM dp JOIN items USING (t) WHERE i = n GROUP BY r, t)
+SELECT doc_id, item_id, CAST(distance AS INTEGER) AS distance, CAST(end_word AS BIGINT) AS end_word FROM last JOIN d USING (r) JOIN items USING (t) WHERE distance <= k
+"""

@@ -140,3 +140,13 @@ def groups(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, s
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies in the whole embeddings table."""
     return groups(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id"))
+
+
+#: The same by comparing every pair of vectors.
+SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, len(e) AS dim, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.dim = b.dim AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.95 - 1e-9),
+reached AS (SELECT a AS root, a AS vec_id FROM pairs UNION SELECT r.root, p.b FROM reached r JOIN pairs p ON p.a = r.vec_id)
+SELECT vec_id, min(root) AS group_id, min(root) = vec_id AS kept FROM reached GROUP BY vec_id
+"""

@@ -97,8 +97,16 @@ def test_very_long_text(spark, docs_of, words):
 
 
 def test_walks_reach_the_recall():
-    for size in (16, 64):
-        assert D.walks_for(size, D.EDITS, D.RECALL) <= D.MOST_WALKS
+    """Of fresh pairs at the largest distance, not those that the number of walks was chosen by."""
+    draw = np.random.default_rng(12345)
+    for size in (8, 16, 32, 64, 128):
+        walks, k, pairs = D.walks_for(size, D.EDITS, D.RECALL), D.allowed(size, D.EDITS), 200
+        if not walks:
+            continue
+        base = [draw.integers(1, 1 << 62, size).astype(np.uint64) for _ in range(pairs)]
+        other = [np.concatenate([D.edited(b, k, draw), draw.integers(1, 1 << 62, size).astype(np.uint64)])[:size] for b in base]
+        x, y = (D.walk_keys(np.concatenate(t), np.arange(pairs) * size, size, walks) for t in (base, other))
+        assert (x == y).any(axis=1).mean() >= D.RECALL - 0.05, size
 
 
 def test_long_items_with_many_edits_are_found(words):
