@@ -20,4 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": shards.query,
     "op10_html_extraction": html.query,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": minhash.SQL,
+    "op4_embedding_near_dedup": embeddings.SQL,
+    "op6_chat_formatting": chat.SQL,
+    "op7_benchmark_decontamination": decontaminate.SQL,
+    "op8_line_dedup": linededup.SQL,
+    "op9_sharding": shards.SQL,
+}
