@@ -2,28 +2,35 @@
 
 A corpus is one sequence of line hashes, document after document by (doc_id, key of
 the text), each document and each line that occurs once ending in a symbol of its
-own. Only lines that occur again take part; lines without a word are passed over. Prefix doubling refines the rank of each
-suffix: a rank is (hash of its first line, offset among the suffixes that begin with
-it), and a round orders each group of equal ranks by the rank 2**k lines further on,
-so no round sorts the whole corpus and settled suffixes drop out.
+own. Only lines that occur again take part; lines without a word are passed over.
+Prefix doubling refines the rank of each suffix: a rank is (hash of its first line,
+offset among the suffixes that begin with it), and a round orders each group of equal
+ranks by the rank 2**k lines further on, so no round sorts the whole corpus and settled
+suffixes drop out. What a round orders are the different ranks further on, counted
+where they lie, so a line that very many places share is no more work than others.
 
 The longest common prefix of neighbours in the suffix array is compared line by line
 only where the lines before them differ; elsewhere it is one less than that of the
 suffix before. Those comparisons add up to O(n log n) lines whatever the input
 repeats. A stack over the common-prefix intervals then gives, for each suffix, the
-longest run that also begins earlier in the corpus. Runs of at least ``min_words``
-words are repeated passages; their first copy stays and later ones are deleted.
+longest run that also begins earlier in the corpus. The array lies in ranges, each a
+task's; of the ranges around it a task needs only the suffixes that begin earlier than
+all between, which are few. Runs of at least ``min_words`` words are repeated
+passages; their first copy stays and later ones are deleted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from brackwater.llm import words as W
@@ -75,44 +82,75 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def ranked(active: DataFrame, scratch: Scratch) -> DataFrame:
-    """active with off, the place of each suffix among those that begin with line h, and cap, above its common prefixes.
+    """active with off and cap: suffixes that begin with line h are in the order of (off, d, i), and no common prefix reaches cap lines.
 
-    A round writes only the suffixes that it moves; those that are alone in their group
-    stay where they were written last.
+    Several have one off only where they end alike: each is alone, in the order of its
+    end. A round writes only the suffixes that it moves; those that are alone in their
+    group stay where they were written last.
     """
-    now = active.withColumn("off", F.lit(0).cast("long")).withColumn("cap", F.lit(1)).withColumn("size", F.count("*").over(Window.partitionBy("h")))
+    now = active.withColumns({"off": F.lit(0).cast("long"), "cap": F.lit(1), "open": F.lit(True), "ends": F.lit(False)})
     now = scratch.save(now, "rank")
-    settled, k = now.where("size = 1"), 0
-    while left := now.where("size > 1").count():
-        tied = now.where("size > 1")
-        ahead = settled.unionByName(tied).select("d", "i", F.col("h").alias("h2"), F.col("off").alias("off2"))
+    settled, k = now.where("not open"), 0
+    while left := now.where("open").count():
+        tied = now.where("open").drop("open", "ends", "cap")
+        ahead = settled.select("d", "i", "h", "off", "ends").unionByName(now.where("open").select("d", "i", "h", "off", "ends"))
         if left <= BROADCAST_ROWS:  # 16 bytes each: only the places that are looked up go through the shuffle
             ahead = ahead.join(F.broadcast(tied.select("d", (F.col("i") + (1 << k)).alias("i"))), ["d", "i"], "left_semi")
-        ahead = ahead.withColumn("i", F.col("i") - (1 << k))
-        group = Window.partitionBy("h", "off")
-        # a suffix that ends here is alone, and comes first, in the order of its end
-        end = F.when(F.col("h2").isNull(), F.struct("d", "i"))
-        order = group.orderBy(F.col("h2").asc_nulls_first(), F.col("off2").asc_nulls_first(), end.asc_nulls_last())
-        moved = (
-            tied.drop("size", "cap").join(ahead, ["d", "i"], "left")
-            .withColumn("new", F.col("off") + F.rank().over(order) - 1)
-            .drop("h2", "off2", "off").withColumnRenamed("new", "off")
-            .withColumn("cap", F.lit(2 << k)).withColumn("size", F.count("*").over(group))
-        )
-        now, k = scratch.save(moved, "rank"), k + 1
-        settled = settled.unionByName(now.where("size = 1"))
-    return settled.drop("size")
-
-
-def common_prefixes(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
-    """suffixes with lcp: the lines shared with the suffix before it in the array, 0 for the first of its h."""
-    before = Window.partitionBy("h").orderBy("off")
-    near = suffixes.withColumn("q", F.lag(F.struct("d", "i", "prev")).over(before))
+        end = F.when(F.col("ends"), F.struct("d", "i"))
+        ahead = ahead.select("d", (F.col("i") - (1 << k)).alias("i"), F.col("h").alias("h2"), F.col("off").alias("off2"), end.alias("end2"))
+        seen = tied.join(ahead, ["d", "i"], "left")
+        further = ["h", "off", "h2", "off2", "end2"]
+        upto = Window.partitionBy("h", "off").orderBy(*(F.col(c).asc_nulls_first() for c in further[2:]))
+        if left <= BROADCAST_ROWS:  # even as one group
+            placed = seen.withColumns({"begin": F.rank().over(upto) - 1, "n": F.count("*").over(Window.partitionBy(*further))})
+        else:
+            seen = scratch.save(seen, "seen")
+            counts = seen.groupBy(*further).agg(F.count("*").alias("n"))
+            counts = counts.withColumn("begin", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+            counts = scratch.save(counts.where("h2 is not null").toDF(*("c" + c for c in further), "n", "begin"), "counts")
+            if counts.count() <= BROADCAST_ROWS:
+                counts = F.broadcast(counts)
+            same = reduce(lambda x, y: x & y, (F.col(c) == F.col("c" + c) for c in further[:4])) & F.col("end2").eqNullSafe(F.col("cend2"))
+            placed = seen.join(counts, same, "left")
+        over = F.col("h2").isNull()
+        moved = placed.withColumns({"off": F.col("off") + F.when(over, 0).otherwise(F.col("begin")), "open": ~over & (F.col("n") > 1), "ends": over, "cap": F.lit(2 << k)})
+        now, k = scratch.save(moved.select(now.columns), "rank"), k + 1
+        settled = settled.unionByName(now.where("not open"))
+    return settled.drop("open", "ends")
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, d, i, prev, ...) in the order of the suffix array with what lies before each in this range: its range, its place there, and qh, qd, qi, qprev."""
+    part, at, last = TaskContext.get().partitionId(), 0, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k) for k in range(4)]
+        before = [pa.concat_arrays([pa.array([last[k] if last else None], c.type), c.slice(0, n - 1)]) for k, c in enumerate(columns)]
+        last = [c[n - 1].as_py() for c in columns]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), *before], [*batch.schema.names, "part", "pos", "qh", "qd", "qi", "qprev"])
+        at += n
+
+
+def common_prefixes(suffixes: DataFrame, scratch: Scratch, ranges: int | None = None) -> DataFrame:
+    """suffixes by range and place of the array, with lcp: the lines shared with the suffix before it, 0 for the first of its h."""
+    first = ["h", "d", "i", "prev"]
+    suffixes = suffixes.select(*first, *(c for c in suffixes.columns if c not in first))
+    order = [F.col(c) for c in ("h", "off", "d", "i")]
+    apart = suffixes.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    more = [T.StructField("part", T.IntegerType()), T.StructField("pos", T.LongType()), *(T.StructField("q" + c, T.LongType()) for c in first)]
+    near = scratch.save(apart.mapInArrow(neighbours, T.StructType([*suffixes.schema.fields, *more])), "array")
+    # the last row of a range lies before the first of the next: a row for each range goes through the driver
+    lasts = {r.part: r.q for r in near.groupBy("part").agg(F.max_by(F.struct(*first), "pos").alias("q")).collect()}
+    rows = [(part, *lasts[before]) for before, part in zip(sorted(lasts), sorted(lasts)[1:])]
+    edge = scratch.spark.createDataFrame(rows, "part int, lh long, ld long, li long, lprev long")
+    near = near.join(F.broadcast(edge), "part", "left")
+    for c in first:
+        near = near.withColumn("q" + c, F.when(F.col("pos") == 0, F.col("l" + c)).otherwise(F.col("q" + c)))
     # where the lines before both are equal it is one less than for the suffix before
-    reducible = F.coalesce(F.col("prev") == F.col("q.prev"), F.lit(False))
-    near = near.withColumn("known", F.when(F.col("q").isNull(), 0).when(~reducible, -1)).select(
-        "doc", "d", "i", "h", "words", "off", "cap", "known", F.col("q.d").alias("qd"), F.col("q.i").alias("qi")
-    )
+    fresh, reducible = ~F.col("qh").eqNullSafe(F.col("h")), F.coalesce(F.col("prev") == F.col("qprev"), F.lit(False))
+    near = near.withColumn("known", F.when(fresh, 0).when(~reducible, -1)).select("doc", "d", "i", "part", "pos", "cap", "known", "qd", "qi")
     near = scratch.save(near, "near")
     # the lines of each segment without a gap
     segment = Window.partitionBy("d").orderBy("i")
@@ -135,48 +173,119 @@ def common_prefixes(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     along = segment.rowsBetween(Window.unboundedPreceding, 0)
     known = near.join(counted, ["d", "i"], "left").withColumn("known", F.coalesce("got", "known"))
     reach = F.last(F.col("i") + F.col("known"), ignorenulls=True).over(along)
-    return known.withColumn("lcp", reach - F.col("i")).select("doc", "d", "i", "h", "words", "off", "lcp")
+    return known.select("part", "pos", "doc", "d", "i", (reach - F.col("i")).alias("lcp"))
 
 
-def longest_previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, i, run) of the suffixes of which a run begins earlier too, the longest such run.
+END = 1 << 62
+Place = tuple  # (whether there is a doc_id, doc_id, d, i): the order of the corpus
+Chain = list  # [(place, lines shared with all up to the edge of a range)], the nearest to the edge first, each earlier than those nearer
 
-    The rows come ordered by (h, off). On the stack lie suffixes of rising place in the
-    corpus, each with what it shares with the one below; it is all that is kept.
-    """
-    stack: list[tuple] = []  # (place, shared with the one below)
-    last = None
-    found: list[tuple] = []
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        d, i, run = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(run, pa.int64())], ["d", "i", "run"])
+def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[Place], np.ndarray]]:
+    """(range, places, lcp) of rows (part, pos, doc, d, i, lcp) ordered by (part, pos)."""
+    held: list[pa.RecordBatch] = []
 
-    def leave(place: tuple, run: int) -> None:
-        if run:
-            found.append((place[2], place[3], run))
+    def settle() -> tuple[int, list[Place], np.ndarray]:
+        table = pa.Table.from_batches(held)
+        doc, d, i = (table[k].to_pylist() for k in (2, 3, 4))
+        return table[0][0].as_py(), [(x is not None, 0 if x is None else x, y, z) for x, y, z in zip(doc, d, i)], table[5].to_numpy()
 
     for batch in batches:
-        doc, d, i, h, lcp = (batch.column(k).to_pylist() for k in range(5))
-        for k in range(batch.num_rows):
-            place = (doc[k] is not None, doc[k], d[k], i[k]) if doc[k] is not None else (False, 0, d[k], i[k])
-            shared = lcp[k]
-            if h[k] != last:
-                for p, below in stack:
-                    leave(p, below)
-                stack, last, shared = [], h[k], 0
-            while stack and stack[-1][0] > place:
-                p, below = stack.pop()
-                leave(p, max(below, shared))
-                shared = min(below, shared)
-            stack.append((place, shared if stack else 0))
-        if len(found) > 10_000:
-            yield batch_of(found)
-            found.clear()
-    for p, below in stack:
-        leave(p, below)
-    if found:
-        yield batch_of(found)
+        while batch.num_rows:
+            part = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(part, part[0], "right"))
+            if held and held[0].column(0)[0].as_py() != part[0]:
+                yield settle()
+                held.clear()
+            held.append(batch.slice(0, cut))
+            batch = batch.slice(cut)
+    if held:
+        yield settle()
+
+
+def edges(places: list[Place], lcp: np.ndarray) -> tuple[Chain, Chain, Place, int]:
+    """Of a range: the chain from its start on, the chain from its end back, its earliest place and the least lcp."""
+    n = len(places)
+    rank = np.empty(n, np.int64)
+    rank[sorted(range(n), key=places.__getitem__)] = np.arange(n)
+    from_start, to_end = np.minimum.accumulate(lcp), np.append(np.minimum.accumulate(lcp[::-1])[::-1][1:], END)
+    starts = np.flatnonzero(rank == np.minimum.accumulate(rank))
+    ends = np.flatnonzero(rank == np.minimum.accumulate(rank[::-1])[::-1])[::-1]
+    return [(places[k], int(from_start[k])) for k in starts if from_start[k]], [(places[k], int(to_end[k])) for k in ends if to_end[k]], places[int(rank.argmin())], int(lcp.min())
+
+
+def chains(found: list[tuple[int, Chain, Chain, Place, int]]) -> dict[int, tuple[Chain, Chain]]:
+    """(chain before, chain after) of each range, of edges() of all, in their order."""
+    before: list[Chain] = [[]]
+    for _, _, end, low, least in found[:-1]:
+        before.append(end + [(p, min(m, least)) for p, m in before[-1] if p < low and least])
+    after: list[Chain] = [[]]
+    for _, start, _, low, least in found[:0:-1]:
+        after.append(start + [(p, min(m, least)) for p, m in after[-1] if p < low and least])
+    return {part: (x, y) for (part, *_), x, y in zip(found, before, reversed(after))}
+
+
+def longest_previous(places: list[Place], lcp: np.ndarray, before: Chain, after: Chain) -> np.ndarray:
+    """For each suffix of a range the longest run that begins earlier in the corpus too.
+
+    On the stack lie suffixes of rising place, each with what it shares with the one
+    below; the chains of other ranges come first and last.
+    """
+    run = np.zeros(len(places), np.int64)
+    stack: list[tuple[Place, int, int]] = []  # (place, shared with the one below, index here or -1)
+    edge = 0
+    for p, m in reversed(before):
+        stack.append((p, edge, -1))
+        edge = m
+    own = [(p, int(m), k) for k, (p, m) in enumerate(zip(places, lcp.tolist()))]
+    if own:
+        own[0] = (own[0][0], min(own[0][1], edge), 0)
+    for place, shared, k in [*own, *((p, m, -1) for p, m in after)]:
+        if not shared:
+            for _, below, j in stack:
+                if j >= 0:
+                    run[j] = below
+            stack = []
+        while stack and stack[-1][0] > place:
+            _, below, j = stack.pop()
+            if j >= 0:
+                run[j] = max(below, shared)
+            shared = min(below, shared)
+        stack.append((place, shared if stack else 0, k))
+    for _, below, j in stack:
+        if j >= 0:
+            run[j] = below
+    return run
+
+
+def previous_runs(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(d, i, run) of the suffixes (part, pos, doc, d, i, lcp) of which a run begins earlier too, the longest such run."""
+    ranges = prefixes.repartition("part").sortWithinPartitions("part", "pos")
+    doc = prefixes.schema["doc"].dataType
+    link = T.StructType([T.StructField(c, k) for c, k in (("part", T.IntegerType()), ("kind", T.StringType()), ("k", T.IntegerType()), ("doc", doc), ("d", T.LongType()), ("i", T.LongType()), ("m", T.LongType()))])
+    doc_type = to_arrow_type(doc)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, places, lcp in by_range(batches):
+            start, end, low, least = edges(places, lcp)
+            rows = [("start", *x) for x in start] + [("end", *x) for x in end] + [("low", low, least)]
+            values = [[part] * len(rows), [r[0] for r in rows], range(len(rows)), [r[1][1] if r[1][0] else None for r in rows], [r[1][2] for r in rows], [r[1][3] for r in rows], [r[2] for r in rows]]
+            kinds = (pa.int32(), pa.string(), pa.int32(), doc_type, pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], link.names)
+
+    held: dict[int, dict[str, list]] = {}
+    for r in ranges.mapInArrow(summed, link).orderBy("part", "k").collect():  # some rows for each range
+        held.setdefault(r.part, {"start": [], "end": [], "low": []})[r.kind].append(((r.doc is not None, 0 if r.doc is None else r.doc, r.d, r.i), r.m))
+    known = chains([(part, x["start"], x["end"], *x["low"][0]) for part, x in sorted(held.items())])
+    sent = scratch.spark.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, places, lcp in by_range(batches):
+            runs = longest_previous(places, lcp, *sent.value[part])
+            at = np.flatnonzero(runs)
+            yield pa.RecordBatch.from_arrays([pa.array([places[k][2] for k in at], pa.int64()), pa.array([places[k][3] for k in at], pa.int64()), pa.array(runs[at])], ["d", "i", "run"])
+
+    return scratch.save(ranges.mapInArrow(run, "d long, i long, run long"), "runs")
 
 
 def covered(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -211,7 +320,7 @@ def covered(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
         yield from settle()
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None, ranges: int | None = None) -> DataFrame:
     """(doc_id, d, lines, words) of each document that holds later copies: their line numbers from 0, and their words.
 
     A copy is later than another by (doc_id, key of the text, line), a null doc_id
@@ -227,10 +336,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     active = active.withColumn("prev", F.when(F.lag("i").over(before) == F.col("i") - 1, F.lag("h").over(before)))
     active = scratch.save(active, "active")
     scratch.drop(every)
-    suffixes = ranked(active.drop("line"), scratch)
-    prefixes = common_prefixes(suffixes, scratch).select("doc", "d", "i", "h", "lcp", "off")
-    runs = prefixes.repartition("h").sortWithinPartitions("h", "off").mapInArrow(longest_previous, "d long, i long, run long")
-    runs = scratch.save(runs, "runs")
+    suffixes = ranked(active.drop("line", "words"), scratch)
+    runs = previous_runs(scratch.save(common_prefixes(suffixes, scratch, ranges), "prefixes"), scratch)
     marked = (
         active.select("doc", "d", "i", "line", "words").join(runs, ["d", "i"], "left")
         .select("doc", "d", "i", "line", "words", F.coalesce("run", F.lit(0).cast("long")).alias("run"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from brackwater.llm import linededup
@@ -63,6 +64,47 @@ def test_rounds_without_a_broadcast(docs_of, words, monkeypatch):
     assert {r.doc_id: set(r.lines) for r in linededup.repeated_lines(docs_of(rows)).collect()} == brute(rows)
 
 
+def naive_runs(places, lcp):
+    out = []
+    for p in range(len(places)):
+        best = 0
+        for q in range(len(places)):
+            if places[q] < places[p]:
+                best = max(best, min(lcp[min(p, q) + 1 : max(p, q) + 1]))
+        out.append(best)
+    return out
+
+
+def test_ranges_of_the_array_give_what_the_whole_gives():
+    d = random.Random(9)
+    for trial in range(300):
+        n = d.randint(1, 40)
+        places = [(True, k // 3, 0, k) for k in range(n)]
+        if trial % 3:
+            d.shuffle(places)
+        lcp = np.array([0] + [d.choice((0, 1, 1, 2, 5, 9)) for _ in range(n - 1)])
+        cuts = sorted(d.sample(range(1, n), d.randint(0, min(5, n - 1)))) if n > 1 else []
+        parts = [(places[a:b], lcp[a:b]) for a, b in zip([0, *cuts], [*cuts, n])]
+        known = linededup.chains([(k, *linededup.edges(*x)) for k, x in enumerate(parts)])
+        got = np.concatenate([linededup.longest_previous(*x, *known[k]) for k, x in enumerate(parts)])
+        assert got.tolist() == naive_runs(places, lcp)
+
+
+def test_many_ranges(docs_of, words):
+    rows = corpus(words)
+    assert {r.doc_id: set(r.lines) for r in linededup.repeated_lines(docs_of(rows), ranges=7).collect()} == brute(rows)
+
+
+def test_a_line_that_is_everywhere(docs_of, words):
+    """One line is a third of all lines, some of its neighbours repeat too."""
+    common, blocks = line(words, 1), ["\n".join(line(words, 10 * b + k) for k in range(3)) for b in range(3)]
+    d, rows = random.Random(3), []
+    for doc in range(60):
+        parts = [line(words, 5000 + 100 * doc + k) for k in range(4)] + [d.choice(blocks)]
+        rows.append((doc, "\n".join(x for part in parts for x in (part, common))))
+    assert {r.doc_id: set(r.lines) for r in linededup.repeated_lines(docs_of(rows), 40, ranges=5).collect()} == brute(rows, 40)
+
+
 def test_runs_are_covered_whatever_the_batches():
     d = random.Random(6)
     rows = []
