@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackwater.sources.pdf import PdfError, pdf_text
+from brackwater.sources.sheets import SheetError, xls_sheets, xlsb_sheets
 
 PLAIN = ("txt", "text", "md", "markdown", "csv", "tsv", "log")
 HTML = ("html", "htm", "xhtml")
@@ -159,6 +160,12 @@ def raw_text(name: str, data: bytes) -> str:
         return xlsx_text(data)
     if kind == "ods":
         return ods_text(data)
+    if kind in ("xls", "xlsb"):
+        try:
+            sheets = (xls_sheets if kind == "xls" else xlsb_sheets)(data)
+        except SheetError as e:
+            raise ExtractError(f"spreadsheet: {e}") from e
+        return "".join(line + "\n" for name, rows in sheets for line in ["# " + name, *sheet_lines(rows)])
     if kind == "pdf":
         try:
             return pdf_text(data)
@@ -166,8 +173,6 @@ def raw_text(name: str, data: bytes) -> str:
             raise ExtractError(f"pdf: {e}") from e
     if kind == "doc":
         raise ExtractError("the old .doc format is not read; save it as .docx or .pdf")
-    if kind in SUPPORTED:
-        raise ExtractError(f"no reader for .{kind} is installed")
     raise ExtractError(f"unsupported file type .{kind}")
 
 
