@@ -6,24 +6,10 @@ folder named by ``spark.checkpoint.dir``, never on one machine's disk.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from brackwater.llm.words import bound_batches
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; on a local master one is made where it is unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="brackwater-")
-        sc.setCheckpointDir(folder)
-    return folder
+from brackwater.sources.shared import shared_path
 
 
 class Scratch:
@@ -32,7 +18,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = shared_path(spark, name)
         self.count = 0
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:

@@ -214,3 +214,7 @@ def test_odd_rows(spark, docs_of, words):
     assert (by[2].ids, by[2].offsets, by[2].pieces) == ([], [0], 0)
     assert by[3].ids == by[None].ids and by[4].offsets[-1] == len(long.encode())
     assert pieces.encode(docs_of(["x"]).where("false")).count() == 0
+    wide = pieces.encode(docs_of(rows)).selectExpr("*", "1 as text", "2 as model", "3 as row")
+    back = pieces.decode(wide, keep=("pieces",))
+    assert back.columns == ["doc_id", "text", "pieces"] and {r.doc_id: r.text for r in back.collect()} == dict(rows)
+    assert pieces.decode(wide.where("false")).count() == 0

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from brackwater.llm import decontaminate, linededup, minhash, pieces, toxicity
 
@@ -45,3 +46,13 @@ def test_decisions_take_effect(spark, data, stages):
 
 def test_run_is_the_stages(spark, data, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, data).collect())) == sorted(map(str, stages[-1][2].collect()))
+
+
+@pytest.mark.parametrize("kind", ["empty", "null"])
+def test_run_on_tables_without_texts(spark, data, tmp_path, kind):
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{data}/{name}.parquet").limit(5)
+        df = df.where("false") if kind == "empty" else df.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.ids, r.pieces) for r in got] == ([] if kind == "empty" else [(None, None, 0)] * 5)

@@ -39,7 +39,10 @@ def test_reject_agrees_with_score(judged, clash):
     wide = clash(docs)
     left = toxicity.reject(wide, model)
     assert left.columns == wide.columns
-    clean = {r.doc_id for r in toxicity.score(docs, model).collect() if not r.toxic}
+    scored = toxicity.score(wide, model)
+    assert scored.columns == ["doc_id", "toxicity", "toxic"]
+    clean = {r.doc_id for r in scored.collect() if not r.toxic}
+    assert clean == {r.doc_id for r in toxicity.score(docs, model).collect() if not r.toxic}
     assert {r.doc_id for r in left.select("doc_id").collect()} == clean
 
 
