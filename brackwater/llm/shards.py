@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from brackwater.llm.scratch import Scratch
 
 SHARDS = 64
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 BLOCKS_HELD = 256
 
 
@@ -118,11 +118,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, scratch: Scratch | None = None
     blocks = (
         order.groupBy("part", F.floor(F.col("at") / BLOCK).alias("b"))
         .agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.max("size").alias("largest"))
-        .orderBy("part", "b").collect()
-    )  # fmt: skip - one row for each 65536 groups
+        .orderBy("part", "b").toArrow()
+    )  # fmt: skip - one row for each BLOCK groups
+    block_part, block, total, many, largest = (blocks[c].to_numpy() for c in ("part", "b", "total", "n", "largest"))
 
     def fetch(wanted: list[int]) -> dict[int, np.ndarray]:
-        places = {(blocks[k]["part"], blocks[k]["b"]): k for k in wanted}
+        places = {(int(block_part[k]), int(block[k])): k for k in wanted}
         one_of = reduce(lambda a, b: a | b, ((F.col("part") == p) & F.col("at").between(b * BLOCK, (b + 1) * BLOCK - 1) for p, b in places))
         own = order.where(one_of).select("part", "at", "size").toArrow()
         part, at, size = (own[c].to_numpy() for c in ("part", "at", "size"))
@@ -132,12 +133,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, scratch: Scratch | None = None
             out[k] = size[mine[np.argsort(at[mine])]]
         return out
 
-    sizes = Sizes(np.array([b["total"] for b in blocks], np.int64), np.array([b["n"] for b in blocks], np.int64), fetch)
-    capacity = smallest_capacity(sizes, max([b["largest"] for b in blocks], default=0), shards)
+    sizes = Sizes(total, many, fetch)
+    capacity = smallest_capacity(sizes, int(largest.max(initial=0)), shards)
     starts = np.array(cuts(sizes, capacity, shards) or [], np.int64)
     offset: dict[int, int] = {}
-    for b, first in zip(blocks, sizes.first):
-        offset.setdefault(b["part"], int(first))
+    for part, at in zip(*np.unique(block_part, return_index=True)):
+        offset[int(part)] = int(sizes.first[at])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
