@@ -23,6 +23,8 @@ from brackwater.schema import TABLES
 from brackwater.sources.extract import extract
 from brackwater.sources.store import Store
 
+#: Tables whose rows go with their document.
+OF_DOCUMENTS = ("documents", "chunks", "embeddings", "document_hashes")
 #: How many embedded queries are remembered, and how many rows a page of a listing may have at most.
 REMEMBERED = 256
 MOST_ROWS = 500
@@ -60,8 +62,8 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, root: str, index_kind: str | Index = "flat", embedders: dict[str, Callable] | None = None, reranker: Callable[[Column, Column], Column] | None = None,
-                 clock: Callable[[], int] | None = None, chunker: Callable[[str], list[str]] = chunking.chunk_text):
-        self.spark, self.store, self.reranker, self.chunker = spark, Store(spark, root), reranker, chunker
+                 clock: Callable[[], int] | None = None, chunker: Callable[[str], list[str]] = chunking.chunk_text, key: bytes | None = None):
+        self.spark, self.store, self.reranker, self.chunker = spark, Store(spark, root, key), reranker, chunker
         self.index = index_of(index_kind)
         self.counts = Counter()
         self._vectors: OrderedDict[tuple[str, str], list[float]] = OrderedDict()
@@ -71,8 +73,12 @@ class Engine:
     # rows
 
     def table(self, name: str, domain_ids: list[int] | None = None) -> DataFrame:
-        """A current table."""
-        return self.store.table(name, domain_ids)
+        """A current table, without what belongs to deleted documents."""
+        rows = self.store.table(name, domain_ids)
+        if name in OF_DOCUMENTS and self.store.manifest().get("deletions"):
+            gone = broadcast_if_small(self.store.table("deletions", domain_ids).select(F.col("document_id").alias("gone")))
+            rows = rows.join(gone, rows["id" if name == "documents" else "document_id"] == gone["gone"], "left_anti")
+        return rows
 
     def get(self, name: str, row_id: int):
         """The row of an id."""
@@ -102,7 +108,7 @@ class Engine:
     def fork(self, root: str) -> Engine:
         """An engine of the same settings over a store of its own that begins with this one's tables, none of which is copied."""
         other = copy(self)
-        other.store, other.counts, other._vectors = Store(self.spark, root), Counter(), OrderedDict()
+        other.store, other.counts, other._vectors = Store(self.spark, root, self.store.key), Counter(), OrderedDict()
         other.store.publish(self.store.manifest(), 0)
         return other
 
@@ -111,7 +117,10 @@ class Engine:
         return 0
 
     def _next_id(self, name: str) -> int:
-        return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
+        used = [self.store.table(name).agg(F.max("id")).first()[0] or 0]
+        if name == "documents":  # the number of a deleted document isn't given again
+            used.append(self.store.table("deletions").agg(F.max("document_id")).first()[0] or 0)
+        return max(used) + 1
 
     def _row(self, table: str, /, **values) -> DataFrame:
         return self.spark.createDataFrame([tuple(values.get(f.name) for f in TABLES[table].fields)], TABLES[table])
@@ -236,7 +245,7 @@ class Engine:
         good = read.where("error is null").select("n", F.element_at(F.split("path", "/"), -1).alias("title"), F.col("path").alias("source"), "text")
         return self.ingest(domain_id, good), read.where("error is not null").select("path", "error")
 
-    # edits: each rewrites what the domain has of the tables it touches
+    # edits: deletions are a list beside the tables, other edits rewrite what the domain has of the tables they touch
 
     def _rewrite(self, domain_id: int, **tables: DataFrame) -> None:
         for name, df in list(tables.items()):
@@ -244,26 +253,29 @@ class Engine:
                 tables[name] = self.table(name).where(F.col("domain_id") != domain_id).unionByName(df)
         self.store.commit(tables, domain_id)
 
-    def _without_documents(self, domain_id: int, gone: DataFrame) -> dict[str, DataFrame]:
-        gone = broadcast_if_small(gone.select(F.col("id").alias("document_id")))
-        own = {n: self.table(n, [domain_id]) for n in ("documents", "chunks", "embeddings", "document_hashes")}
-        return {n: df.join(gone, df["id" if n == "documents" else "document_id"] == gone["document_id"], "left_anti") for n, df in own.items()}
-
     def delete_document(self, document_id: int) -> None:
-        """With its chunks, embeddings and hash."""
+        """With its chunks, embeddings and hash: its number is noted, and left out by what reads."""
         row = self.get("documents", document_id)
-        self._rewrite(row.domain_id, **self._without_documents(row.domain_id, self.table("documents", [row.domain_id]).where(F.col("id") == document_id)))
+        self.store.commit({}, appends={"deletions": self._row("deletions", domain_id=row.domain_id, document_id=document_id)})
 
     def delete_subdomain(self, subdomain_id: int) -> None:
         """With its documents."""
         row = self.get("subdomains", subdomain_id)
-        gone = self.table("documents", [row.domain_id]).where(F.col("subdomain_id") == subdomain_id)
-        self._rewrite(row.domain_id, subdomains=self.table("subdomains", [row.domain_id]).where(F.col("id") != subdomain_id), **self._without_documents(row.domain_id, gone))
+        gone = self.table("documents", [row.domain_id]).where(F.col("subdomain_id") == subdomain_id).select("domain_id", F.col("id").alias("document_id"))
+        self.store.commit({"subdomains": self.table("subdomains").where(F.col("id") != subdomain_id)}, appends={"deletions": gone})
+
+    def compact(self, domain_id: int) -> None:
+        """Write the domain's tables anew, each as one part, without what was deleted."""
+        last = self._next_id("documents") - 1
+        kept = self.store.table("deletions").where((F.col("domain_id") != domain_id) | (F.col("document_id") == last))  # the last number stays noted
+        self._rewrite(domain_id, **{n: self.table(n, [domain_id]) for n in OF_DOCUMENTS})
+        if self.store.manifest().get("deletions"):
+            self.store.commit({"deletions": kept})
 
     def delete_domain(self, domain_id: int) -> None:
         """With everything in it."""
         self.get("domains", domain_id)
-        others = {n: self.table(n).where(F.col("domain_id") != domain_id) for n in ("subdomains", "tags", "document_hashes", "jobs") if self.store.manifest().get(n)}
+        others = {n: self.table(n).where(F.col("domain_id") != domain_id) for n in ("subdomains", "tags", "document_hashes", "deletions", "jobs") if self.store.manifest().get(n)}
         others["domains"] = self.table("domains").where(F.col("id") != domain_id)
         self.store.drop_domain(domain_id, others)
 

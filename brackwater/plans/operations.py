@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackwater.engine import Engine, NotFound
+from brackwater.functions.crypto import derive_key
 from brackwater.functions.text import MODELS, duration_seconds, mock_embedding
 from brackwater.operators import dense
 from brackwater.operators.counters import counted
@@ -179,6 +180,29 @@ def engine_delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _left(engine)
 
 
+@register("engine_compact", _STORE + "SELECT domain_id, chunk_id FROM chunks WHERE document_id <> " + _FIRST % 1)
+def engine_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A domain written anew after a deletion: one part, and nothing noted as deleted."""
+    engine = _engine(spark, sf_dir)
+    engine.delete_document(_first(engine, 1))
+    engine.compact(1)
+    raw = engine.store.table("chunks")
+    parts = [p for p in engine.store.manifest()["chunks"] if p[1] == 1]
+    return raw.where(F.lit(len(parts) == 1) & F.lit(engine.count("deletions") == 0)).select("domain_id", F.col("id").alias("chunk_id"))
+
+
+@register("engine_rekey", _STORE + "SELECT chunk_id, text, false AS plain FROM chunks WHERE domain_id = 4")
+def engine_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store whose texts are sealed under one key, then under another: what it gives, and whether a text lies there as such."""
+    engine = _engine(spark, sf_dir)
+    for passphrase in ("one", "two"):
+        engine.store.rekey(derive_key(passphrase, b"salt", 1000))
+    path = [p for p, domain in engine.store.manifest()["chunks"] if domain == 4]
+    raw = spark.read.parquet(*path).select(F.col("id").alias("raw_id"), F.col("text").alias("raw"))
+    chunks = Engine(spark, engine.store.root, key=derive_key("two", b"salt", 1000)).table("chunks", [4])
+    return chunks.join(raw, chunks["id"] == raw["raw_id"]).select(F.col("id").alias("chunk_id"), "text", F.col("raw").contains(F.col("text")).alias("plain"))
+
+
 @register("engine_delete_subdomain", _STORE + "SELECT domain_id, chunk_id FROM chunks JOIN stored USING (domain_id, document_id) WHERE domain_id <> 1 OR source <> 'src0'")
 def engine_delete_subdomain(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _engine(spark, sf_dir)

@@ -21,11 +21,15 @@ TABLES: dict[str, T.StructType] = {
     "documents": _table("id long, domain_id long, subdomain_id long, title string, source string, metadata map, tags longs, created_at long"),
     "chunks": _table("id long, document_id long, domain_id long, subdomain_id long, ordinal int, text string, tags longs, metadata map, prev long, next long"),
     "embeddings": _table("chunk_id long, document_id long, domain_id long, embedding", embedding=T.ArrayType(T.FloatType())),
+    "deletions": _table("domain_id long, document_id long"),
     "document_hashes": _table("domain_id long, sha256 string, document_id long"),
     "jobs": _table("id long, kind string, document_id long, domain_id long, status string, attempts int, error string, created_at long, updated_at long"),
     "tokens": _table("id long, name string, hash binary, scopes, created_at long, expires_at long", scopes=T.ArrayType(T.StructType([T.StructField("domain", T.LongType()), T.StructField("perm", T.StringType())]))),
 }
 
+#: What a store with a key keeps sealed.
+SEALED = {"domains": ("name",), "subdomains": ("name", "description"), "tags": ("name", "display_name", "description"), "documents": ("title", "source"), "chunks": ("text",)}
+
 #: A chunk's id holds its document and its place there, so no sequence is needed and order is kept.
 CHUNK_BITS = 20
 MAX_K = 1000

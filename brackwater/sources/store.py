@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.schema import TABLES
+from brackwater.functions.crypto import opened, sealed
+from brackwater.schema import SEALED, TABLES
 
 PARTITIONED = ("documents", "chunks", "embeddings")
 
@@ -74,10 +75,10 @@ class Files:
 
 
 class Store:
-    """The tables of schema.TABLES under a root folder."""
+    """The tables of schema.TABLES under a root folder; with a key, names and texts lie there sealed."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+    def __init__(self, spark: SparkSession, root: str, key: bytes | None = None):
+        self.spark, self.root, self.files, self.key = spark, root.rstrip("/"), Files(spark), key
 
     def version(self) -> int:
         """The current version; 0 before any commit."""
@@ -98,6 +99,8 @@ class Store:
         if not parts:
             return self.spark.createDataFrame([], schema)
         found = self.spark.read.schema(schema).parquet(*(p[0] for p in parts))
+        if self.key:
+            found = found.withColumns({c: opened(F.unbase64(c), self.key, f"{name}.{c}") for c in SEALED.get(name, ())})
         return found if domain_ids is None or "domain_id" not in schema.names else found.where(F.col("domain_id").isin(domain_ids))
 
     def commit(self, changes: dict[str, DataFrame], domain_id: int | None = None, appends: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
@@ -107,7 +110,10 @@ class Store:
         for kind, tables in (("replace", changes), ("append", appends or {})):
             for name, df in tables.items():
                 path = f"{self.root}/{name}/{tag}-{kind}"
-                df.select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]).write.parquet(path)
+                df = df.select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
+                if self.key:
+                    df = df.withColumns({c: F.base64(sealed(F.col(c), self.key, f"{name}.{c}")) for c in SEALED.get(name, ())})
+                df.write.parquet(path)
                 part = [path, domain_id if name in PARTITIONED else None]
                 kept = now.get(name, [])
                 if kind == "replace":
@@ -116,6 +122,24 @@ class Store:
         self.publish(now, base)
         return base + 1
 
+    def rekey(self, key: bytes | None) -> int:
+        """Write all tables again under another key, or under none; the new version, which alone it opens."""
+        base, other, now = self.version(), Store(self.spark, self.root, key), {}
+        for name, parts in self.manifest(base).items():
+            now[name] = []
+            for path, domain in parts:
+                plain = Store(self.spark, self.root, self.key)
+                plain.manifest = lambda version=None, name=name, path=path, domain=domain: {name: [[path, domain]]}
+                to = f"{self.root}/{name}/{uuid.uuid4().hex}-rekey"
+                df = plain.table(name)
+                if key:
+                    df = df.withColumns({c: F.base64(sealed(F.col(c), key, f"{name}.{c}")) for c in SEALED.get(name, ())})
+                df.write.parquet(to)
+                now[name].append([to, domain])
+        other.publish(now, base)
+        self.key = key
+        return base + 1
+
     def publish(self, manifest: dict[str, list], base: int) -> None:
         """Make a manifest the version after base."""
         self.files.create_whole(f"{self.root}/_versions/{base + 1:012d}.json", json.dumps(manifest))

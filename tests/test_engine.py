@@ -87,6 +87,40 @@ def test_batches_keep_the_first_of_each_content(spark, engine):
     assert engine.counts["ingested"] == 7 and engine.counts["duplicates"] == 33
 
 
+def test_deletions_and_compaction(engine):
+    d = engine.create_domain("x")
+    ids = [engine.ingest_text(d, f"t{k}", f"text number {k}").document_id for k in range(3)]
+    engine.delete_document(ids[2])
+    assert engine.store.table("documents").count() == 3 and engine.count("documents") == engine.count("embeddings", d) == 2
+    with pytest.raises(NotFound):
+        engine.delete_document(ids[2])
+    again = engine.ingest_text(d, "t2", "text number 2")
+    assert not again.duplicate and again.document_id == ids[2] + 1
+    engine.delete_document(again.document_id)
+    engine.delete_document(ids[0])
+    engine.compact(d)
+    assert engine.store.table("documents").count() == engine.count("chunks") == 1 and len(engine.store.manifest()["chunks"]) == 1
+    assert engine.search(d, "text").count() == 1
+    assert engine.ingest_text(d, "t3", "text number 3").document_id == again.document_id + 1
+
+
+def test_a_sealed_store(spark, tmp_path):
+    from brackwater.functions.crypto import derive_key
+
+    one, two = derive_key("one", b"s", 10), derive_key("two", b"s", 10)
+    e = Engine(spark, f"file://{tmp_path}/store", key=one)
+    d = e.create_domain("secret name")
+    e.ingest_text(d, "title", "the quick brown fox")
+    e.store.rekey(two)
+    assert e.search(d, "fox").first().text == "the quick brown fox" and e.get("domains", d).name == "secret name"
+    held = spark.read.parquet(*(p for p, _ in e.store.manifest()["chunks"])).first().text
+    assert "fox" not in held
+    with pytest.raises(Exception):
+        Engine(spark, f"file://{tmp_path}/store", key=one).table("chunks").collect()
+    e.store.rekey(None)
+    assert Engine(spark, f"file://{tmp_path}/store").table("chunks").first().text == "the quick brown fox"
+
+
 def test_versions_and_backups(engine, tmp_path):
     d = engine.create_domain("v")
     engine.ingest_text(d, "one", "first text")
