@@ -40,7 +40,9 @@ from brackwater.sources.shared import spread
 
 MIN_WORDS = 50
 BROADCAST_BYTES = 64 << 20
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
+#: Rows that are few even as one group of one task.
+FEW_ROWS = 1_000_000
 SOLID = np.ones(256, bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
 
@@ -88,12 +90,13 @@ def ranked(active: DataFrame, scratch: Scratch) -> DataFrame:
     end. A round writes only the suffixes that it moves; those that are alone in their
     group stay where they were written last.
     """
-    now = active.withColumns({"off": F.lit(0).cast("long"), "cap": F.lit(1), "open": F.lit(True), "ends": F.lit(False)})
+    now = active.withColumns({"off": F.lit(0).cast("long"), "cap": F.lit(1), "open": F.lit(True), "ends": F.lit(False), "round": F.lit(0)})
     now = scratch.save(now, "rank")
-    settled, k = now.where("not open"), 0
+    paths, k = [now._scratch_path], 0
     while left := now.where("open").count():
-        tied = now.where("open").drop("open", "ends", "cap")
-        ahead = settled.select("d", "i", "h", "off", "ends").unionByName(now.where("open").select("d", "i", "h", "off", "ends"))
+        tied = now.where("open").drop("open", "ends", "cap", "round")
+        # every suffix as it was moved last, in one scan of all rounds
+        ahead = scratch.spark.read.schema(now.schema).parquet(*paths).where(~F.col("open") | (F.col("round") == k)).select("d", "i", "h", "off", "ends")
         if left <= BROADCAST_ROWS:  # 16 bytes each: only the places that are looked up go through the shuffle
             ahead = ahead.join(F.broadcast(tied.select("d", (F.col("i") + (1 << k)).alias("i"))), ["d", "i"], "left_semi")
         end = F.when(F.col("ends"), F.struct("d", "i"))
@@ -101,7 +104,7 @@ def ranked(active: DataFrame, scratch: Scratch) -> DataFrame:
         seen = tied.join(ahead, ["d", "i"], "left")
         further = ["h", "off", "h2", "off2", "end2"]
         upto = Window.partitionBy("h", "off").orderBy(*(F.col(c).asc_nulls_first() for c in further[2:]))
-        if left <= BROADCAST_ROWS:  # even as one group
+        if left <= FEW_ROWS:
             placed = seen.withColumns({"begin": F.rank().over(upto) - 1, "n": F.count("*").over(Window.partitionBy(*further))})
         else:
             seen = scratch.save(seen, "seen")
@@ -113,10 +116,10 @@ def ranked(active: DataFrame, scratch: Scratch) -> DataFrame:
             same = reduce(lambda x, y: x & y, (F.col(c) == F.col("c" + c) for c in further[:4])) & F.col("end2").eqNullSafe(F.col("cend2"))
             placed = seen.join(counts, same, "left")
         over = F.col("h2").isNull()
-        moved = placed.withColumns({"off": F.col("off") + F.when(over, 0).otherwise(F.col("begin")), "open": ~over & (F.col("n") > 1), "ends": over, "cap": F.lit(2 << k)})
+        moved = placed.withColumns({"off": F.col("off") + F.when(over, 0).otherwise(F.col("begin")), "open": ~over & (F.col("n") > 1), "ends": over, "cap": F.lit(2 << k), "round": F.lit(k + 1)})
         now, k = scratch.save(moved.select(now.columns), "rank"), k + 1
-        settled = settled.unionByName(now.where("not open"))
-    return settled.drop("open", "ends")
+        paths.append(now._scratch_path)
+    return scratch.spark.read.schema(now.schema).parquet(*paths).where("not open").drop("open", "ends", "round")
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,7 @@ def test_lines_are_those_of_brute_force(docs_of, words):
 
 def test_rounds_without_a_broadcast(docs_of, words, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(linededup, "FEW_ROWS", 0)
     rows = corpus(words)
     assert {r.doc_id: set(r.lines) for r in linededup.repeated_lines(docs_of(rows)).collect()} == brute(rows)
 
