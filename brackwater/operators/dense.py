@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brackwater.functions import vectors as V
 from brackwater.operators.lexical import FOUND, best, ranked

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brackwater.operators.lexical import ranked
-from brackwater.schema import SCORE_DIGITS
 
 RRF_K = 60
 KEYS = ("domain_id", "query_id")

@@ -12,7 +12,7 @@ from brackwater.auth import allows
 from brackwater.functions import text as X
 from brackwater.functions import vectors as V
 from brackwater.functions.crypto import derive_key, opened, rekeyed, sealed
-from brackwater.operators import chunking, dense, fusion, lexical
+from brackwater.operators import chunking, dense, lexical
 from brackwater.operators.filters import compile_filter, request_filter
 from brackwater.operators.search import merge_domains, search
 from brackwater.plans import corpus as C

@@ -17,7 +17,7 @@ from brackwater.functions.text import MODELS, duration_seconds, mock_embedding
 from brackwater.operators import dense
 from brackwater.operators.counters import counted
 from brackwater.operators.filters import FilterError, compile_filter, request_filter
-from brackwater.operators.search import INDEXES, index_of, with_chunks
+from brackwater.operators.search import INDEXES, index_of, search, with_chunks
 from brackwater.plans import corpus as C
 from brackwater.plans.catalogue import _BM25, _CHUNKS, _DENSE, _DOMAIN, _FUSED, _HITS, _HYBRID, _TAGGED, _TERMS, register
 from brackwater.sources.shared import kept, shared_path
@@ -363,7 +363,8 @@ def engine_own_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index that is passed in: here one that finds all chunks alike, so that ids decide."""
 
     def alike(corpus: DataFrame, queries: DataFrame, k: int, allowed=None) -> DataFrame:
-        return dense.ranked(corpus.crossJoin(F.broadcast(queries.limit(1).select("query_id"))).select("domain_id", "query_id", "chunk_id", F.lit(0.5).alias("score")), k, ("domain_id", "query_id"))
+        one = F.lit(0).cast("long").alias("query_id")  # an engine numbers its queries from 0
+        return dense.ranked(corpus.select("domain_id", one, "chunk_id", F.lit(0.5).alias("score")), k, ("domain_id", "query_id"))
 
     engine = _engine(spark, sf_dir, index_kind=alike)
     return engine.search(2, vector=[1.0] * C.DIM).select("rank", "chunk_id")
@@ -383,16 +384,11 @@ def index_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
           f"SELECT {_HITS.replace('domain_id', 'f.domain_id').replace(', score', ', f.score')}, document_id, ordinal, text, prev, next FROM fused f JOIN linked USING (chunk_id) WHERE rank <= 10")
 def hit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with all that their chunks have."""
-    chunks, hits = C.indexed_chunks(spark, sf_dir), _HITS_OF(spark, sf_dir)
+    chunks = C.indexed_chunks(spark, sf_dir)
+    hits = search(chunks, C.queries(spark, sf_dir), 10, with_text=False)
     return with_chunks(hits, chunks).select("domain_id", "query_id", "rank", "chunk_id", "score", "document_id", "ordinal", "text", "prev", "next")
 
 
-def _HITS_OF(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from brackwater.plans.catalogue import QUERIES
-
-    return QUERIES["rrf_hybrid"](spark, sf_dir)
-
-
 # --- filters by their edges -------------------------------------------------------------
 
 #: Filters that are read in an unusual way, with what they mean.
