@@ -56,3 +56,9 @@ def test_run_on_tables_without_texts(spark, data, tmp_path, kind):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.ids, r.pieces) for r in got] == ([] if kind == "empty" else [(None, None, 0)] * 5)
+
+
+def test_copies_of_any_length_are_dropped(spark, docs_of, words, data):
+    text = words(120, 1)
+    rows = [(1, " ".join(text)), (2, " ".join(words(400, 2) + text + words(400, 3))), (3, " ".join(words(500, 4)))]
+    assert ids(corpus_pipeline.drop_near_copies(spark, docs_of(rows), data)) == {1, 3}
