@@ -14,27 +14,42 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brackwater.functions.text import tokens
 from brackwater.operators.sizes import broadcast_if_small
 from brackwater.schema import SCORE_DIGITS
+from brackwater.sources.shared import bound_batches
 
 K1, B = 1.2, 0.75
 QUERY_BLOCK = 256
 #: What is sent to the tasks of one scan, about.
 SENT_BYTES = 64 << 20
+#: What a worker holds of the scores of a block of rows, and of what their terms add to them.
+SCORE_BYTES, ADDED_BYTES = 16 << 20, 8 << 20
 FOUND = "domain_id long, query_id long, chunk_id long, score double"
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(domain_id, chunk_id, term, tf, length): each term of each chunk, as a table to keep."""
-    return (
-        chunks.select("domain_id", "chunk_id", tokens(F.col("text")).alias("t"))
-        .select("domain_id", "chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-        .groupBy("domain_id", "chunk_id", "term", "length").agg(F.count("*").alias("tf"))
-        .select("domain_id", "chunk_id", "term", "tf", "length")
-    )
+    """(domain_id, chunk_id, term, tf, length): each term of each chunk, as a table to keep. A chunk is one row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                size = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = batch.column(2).flatten().dictionary_encode()
+                many = max(1, len(found.dictionary))
+                code, tf = np.unique(np.repeat(np.arange(batch.num_rows), size) * many + found.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                row = pa.array(code // many)
+                columns = [batch.column(0).take(row), batch.column(1).take(row), found.dictionary.take(pa.array(code % many)), pa.array(tf, pa.int64()), pa.array(size[code // many], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["domain_id", "chunk_id", "term", "tf", "length"])
+
+    bound_batches(chunks.sparkSession)
+    rows = chunks.select("domain_id", "chunk_id", tokens(F.col("text")).alias("t"))
+    kind = T.StructType([*rows.schema.fields[:2], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("length", T.IntegerType())])
+    return rows.mapInArrow(run, kind)
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -211,14 +226,18 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, allowed: Column | None
 
 def _scored(row: np.ndarray, term: np.ndarray, part: np.ndarray, chunk: np.ndarray, names: np.ndarray, table: np.ndarray, domain: int, k: int) -> Iterator[pa.RecordBatch]:
     """The k best rows for each query of a block, from what each (row, term) adds to a score, in the order of the rows."""
-    cells = max(1, (32 << 20) // (8 * len(names)))
+    cells, most = max(1, SCORE_BYTES // (8 * len(names))), max(1, ADDED_BYTES // (8 * len(names)))
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     a = 0
     while a < len(first):
         b = max(a + 1, int(np.searchsorted(first, first[a] + cells)) - 1) if first[-1] >= first[a] + cells else len(first)
         end = first[b] if b < len(first) else len(row)
-        at = slice(first[a], end)
-        score = np.add.reduceat(table[term[at]] * part[at, None], first[a:b] - first[a], axis=0)
+        score, c = np.empty((b - a, len(names))), a
+        while c < b:  # rows of so many terms at a time
+            d = min(b, max(c + 1, int(np.searchsorted(first, first[c] + most, "right")) - 1)) if end > first[c] + most else b
+            at = slice(first[c], first[d] if d < b else end)
+            score[c - a : d - a] = np.add.reduceat(table[term[at]] * part[at, None], first[c:d] - first[c], axis=0)
+            c = d
         shared = score > 0  # a shared term always adds something, however little is left of it by rounding
         score = np.round(score, SCORE_DIGITS)
         ids = chunk[row[first[a:b]]]
