@@ -20,6 +20,8 @@ from brackwater.schema import SCORE_DIGITS
 from brackwater.sources.shared import stored
 
 QUERY_BYTES = 32 << 20
+#: Scores of a batch of vectors for some of the queries, which a worker holds a few times.
+SCORE_BYTES = 8 << 20
 #: Recall that approximate search aims at, and how many queries it is measured on.
 RECALL = 0.9
 HELD = 256
@@ -53,18 +55,14 @@ def scan(corpus: DataFrame, queries: DataFrame, k: int, quantised: bool = False)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            step = max(1, (64 << 20) // (8 * len(names)))
             for batch in batches:
                 domain, chunk = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
                 rows, x = V.matrix(batch.column(2), q.shape[1])
                 x = V.quantise_rows(x).astype(float) / V.SCALE if quantised else V.normalise_rows(x)
                 for d in np.unique(domain[rows]):
                     own = np.flatnonzero(domain[rows] == d)
-                    for a in range(0, len(own), step):
-                        part = own[a : a + step]
-                        score = np.round(x[part] @ q.T, SCORE_DIGITS) + 0.0
-                        r, c = best(score, chunk[rows[part]], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), d)), pa.array(names[c]), pa.array(chunk[rows[part]][r]), pa.array(score[r, c])], ["domain_id", "query_id", "chunk_id", "score"])
+                    for query, found, score in nearest_of(x[own], chunk[rows[own]], q, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), d)), pa.array(names[query]), pa.array(found), pa.array(score)], ["domain_id", "query_id", "chunk_id", "score"])
 
         found = corpus.select(F.col("domain_id").cast("long"), F.col("chunk_id").cast("long"), "embedding").where("embedding is not null").mapInArrow(run, FOUND)
         out = found if out is None else out.unionAll(found)
@@ -73,6 +71,15 @@ def scan(corpus: DataFrame, queries: DataFrame, k: int, quantised: bool = False)
     return ranked(out, k, ("domain_id", "query_id"))
 
 
+def nearest_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, score) of the k rows of x nearest to each row of q, for as many of them at a time as SCORE_BYTES hold."""
+    step = max(1, SCORE_BYTES // (8 * len(x)))
+    for a in range(0, len(q), step):
+        score = np.round(x @ q[a : a + step].T, SCORE_DIGITS) + 0.0
+        r, c = best(score, ids, k)
+        yield a + c, ids[r], score[r, c]
+
+
 def approximate(corpus: DataFrame, queries: DataFrame, k: int, allowed=None) -> DataFrame:
     """As scan(), by the cells of each domain; a predicate filters inside the cells that are read."""
     out = None
