@@ -91,17 +91,29 @@ def with_prefix(text: Column, model: str, query: bool) -> Column:
     return F.concat(F.lit("query: " if query else "passage: "), text)
 
 
+#: Bytes of the table of words that are hashed at a time, and their number.
+TABLE_BYTES, TABLE_WORDS = 4 << 20, 8192
+
+
 def fnv1a(words: list[bytes]) -> np.ndarray:
-    """FNV-1a over 64 bits of each word."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    width = int(sizes.max(initial=0))
-    table = np.zeros((len(words), width), np.uint8)
-    table[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-    h = np.full(len(words), 0xCBF29CE484222325, np.uint64)
-    for j in range(width):
-        inside = sizes > j
-        h[inside] = (h[inside] ^ table[inside, j]) * np.uint64(0x100000001B3)
-    return h
+    """FNV-1a over 64 bits of each word; words of about one length go together, so that a long one widens no table of short ones."""
+    every = np.array([len(w) for w in words], np.int64)
+    order, out, a = np.argsort(every, kind="stable"), np.empty(len(words), np.uint64), 0
+    while a < len(words):
+        b = min(a + TABLE_WORDS, len(words))
+        while b - a > 1 and (b - a) * every[order[b - 1]] > TABLE_BYTES:
+            b = a + (b - a) // 2
+        own = order[a:b]
+        sizes, width = every[own], int(every[own[-1]])
+        table = np.zeros((b - a, width), np.uint8)
+        table[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(words[k] for k in own), np.uint8)
+        h = np.full(b - a, 0xCBF29CE484222325, np.uint64)
+        for j in range(width):
+            first = np.searchsorted(sizes, j, "right")
+            h[first:] = (h[first:] ^ table[first:, j]) * np.uint64(0x100000001B3)
+        out[own] = h
+        a = b
+    return out
 
 
 def embed_counts(texts: list[str | None], dim: int) -> list[np.ndarray | None]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brackwater.schema import CHUNK_BITS
+from brackwater.sources.shared import bound_batches
 
 SIZE, OVERLAP = 1000, 200
 ENDS = ".!?\n。！？"
@@ -83,6 +84,7 @@ def chunks(docs: DataFrame, id_col: str = "id", text_col: str = "text", splitter
                 ]
                 yield pa.RecordBatch.from_arrays(columns, out.names)
 
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long"), text_col, *(f.name for f in rest))
     return narrow.where(narrow[id_col].isNotNull()).mapInArrow(cut, out)
 
