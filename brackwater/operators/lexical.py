@@ -230,7 +230,7 @@ def _scored(row: np.ndarray, term: np.ndarray, part: np.ndarray, chunk: np.ndarr
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     a = 0
     while a < len(first):
-        b = max(a + 1, int(np.searchsorted(first, first[a] + cells)) - 1) if first[-1] >= first[a] + cells else len(first)
+        b = min(a + cells, len(first))
         end = first[b] if b < len(first) else len(row)
         score, c = np.empty((b - a, len(names))), a
         while c < b:  # rows of so many terms at a time

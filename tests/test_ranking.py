@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions import text as X
 from brackwater.functions import vectors as V
+from brackwater.functions.text import fnv1a
 from brackwater.operators import dense, fusion, lexical
 from brackwater.operators.search import merge_domains, search
 
@@ -200,3 +202,59 @@ def test_index_kinds_agree(spark):
     assert best["flat"] == best["hnsw"] and [r.chunk_id for r in best["flat"]] == [r.chunk_id for r in best["scalar"]]
     with pytest.raises(ValueError):
         search(c, q, 3, index="tree")
+
+
+def peak(work):
+    """Bytes that a call holds at most, besides what was there."""
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_postings_count_each_chunk_where_it_lies(spark):
+    rows = [(1, 10, "b a b ab ab AB cd"), (2, 11, None), (1, 12, "  "), (2, 13, "ab zz")]
+    found = lexical.postings(spark.createDataFrame(rows, "domain_id long, chunk_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 10, "ab", 3, 4), (1, 10, "cd", 1, 4), (2, 13, "ab", 1, 2), (2, 13, "zz", 1, 2)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scoring_a_batch_of_chunks_takes_little_memory_and_gives_k_rows_a_query():
+    rng, rows, hits, queries, terms = np.random.default_rng(3), 4000, 50, 200, 300
+    row, term = np.repeat(np.arange(rows), hits), rng.integers(0, terms, rows * hits)
+    part, table = rng.random(rows * hits), rng.random((terms, queries)) < 0.2
+    got, most = peak(lambda: list(lexical._scored(row, term, part, np.arange(rows), np.arange(queries), table, 1, 5)))
+    assert most < 60 << 20  # what the terms add is 320 MB
+    assert sum(b.num_rows for b in got) == 5 * queries  # not for each part of the batch
+    for q in (0, 77, 199):
+        score = np.round(np.bincount(row, np.where(table[term, q], part, 0)), 6)
+        want = sorted(range(rows), key=lambda r: (-score[r], r))[:5]
+        found = sorted((-s, c) for b in got for query, c, s in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))) if query == q)[:5]
+        assert [c for _, c in found] == want
+
+
+def test_scanning_a_batch_of_vectors_takes_little_memory_and_gives_k_rows_a_query():
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((5000, 16)), rng.standard_normal((1500, 16))
+    got, most = peak(lambda: list(dense.nearest_of(x, np.arange(5000), q, 3)))
+    assert most < 60 << 20  # all scores are 60 MB, and were held several times
+    query, found, score = (np.concatenate([g[k] for g in got]) for k in range(3))
+    assert np.bincount(query).tolist() == [3] * 1500
+    for k in (0, 700, 1499):
+        assert found[query == k].tolist() == np.lexsort((np.arange(5000), -np.round(x @ q[k], 6)))[:3].tolist()
+
+
+def test_a_long_word_widens_no_table_of_short_ones():
+    words = [b"%d" % k for k in range(20000)] + [b"x" * 20000, b""]
+    got, most = peak(lambda: fnv1a(words))
+    assert most < 40 << 20  # one table was 400 MB
+
+    def one(word):
+        h = 0xCBF29CE484222325
+        for c in word:
+            h = (h ^ c) * 0x100000001B3 % (1 << 64)
+        return h
+
+    assert [int(got[k]) for k in (0, 7, 19999, 20000, 20001)] == [one(words[k]) for k in (0, 7, 19999, 20000, 20001)]
