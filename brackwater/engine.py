@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from brackwater.functions.text import MODELS, content_hash, mock_embedding
 from brackwater.operators import chunking
 from brackwater.operators.filters import request_filter
-from brackwater.operators.search import Index, index_of, merge_domains, search
-from brackwater.operators.sizes import broadcast_if_small
+from brackwater.operators.search import Index, index_of, merge_domains, search, with_vectors
+from brackwater.operators.sizes import broadcast_if_small, build_side
 from brackwater.schema import TABLES
 from brackwater.sources.extract import extract
 from brackwater.sources.store import Store
@@ -188,9 +188,12 @@ class Engine:
                 docs = docs.withColumn(name, F.lit(None).cast(kind.replace(";", ",")))
         work = f"{self.store.root}/_staging/{self.clock()}-{id(docs)}"
         body = F.when(F.col("chunks").isNotNull(), F.concat_ws("\n", "chunks")).otherwise(F.col("text"))
-        hashed = docs.select("n", *kinds, content_hash(F.coalesce(body, F.lit(""))).alias("sha256"))
-        hashed.orderBy("n").withColumn("m", F.monotonically_increasing_id()).write.parquet(work)
-        docs = _densely(self.spark.read.parquet(work))
+        hashed = docs.select("n", *kinds, content_hash(F.coalesce(body, F.lit(""))).alias("sha256"), F.monotonically_increasing_id().alias("r"))
+        hashed.write.parquet(work)
+        docs = self.spark.read.schema(hashed.schema).parquet(work)
+        # what orders and compares documents goes without their texts
+        docs.select("r", "n", "sha256").orderBy("n", "r").withColumn("m", F.monotonically_increasing_id()).write.parquet(work + "-order")
+        order = _densely(self.spark.read.parquet(work + "-order"))
         labels = [r[0] for r in docs.select(F.explode("labels")).distinct().where("col is not null").collect()]
         topics = [r[0] for r in docs.select("subdomain").distinct().where("subdomain is not null").collect()]
         tags = self.get_or_create_tags(domain_id, sorted(labels))
@@ -199,11 +202,11 @@ class Engine:
         live = self.table("documents", [domain_id]).select(F.col("id").alias("document_id"))
         known = self.table("document_hashes", [domain_id]).join(live, "document_id", "left_semi").groupBy("sha256").agg(F.min("document_id").alias("old"))
         by_hash = Window.partitionBy("sha256").orderBy("m")
-        placed = docs.join(known, "sha256", "left").withColumn("copy", F.row_number().over(by_hash)) if dedup else docs.withColumn("old", F.lit(None).cast("long")).withColumn("copy", F.lit(1))
+        placed = order.join(known, "sha256", "left").withColumn("copy", F.row_number().over(by_hash)) if dedup else order.withColumn("old", F.lit(None).cast("long")).withColumn("copy", F.lit(1))
         placed = placed.withColumn("id", F.when(F.col("old").isNull() & (F.col("copy") == 1), F.col("m") + first))
         placed.write.parquet(work + "-placed")
         placed = self.spark.read.parquet(work + "-placed")
-        fresh = placed.where("id is not null")
+        fresh = docs.drop("n").join(build_side(placed.where("id is not null").select("r", "id")), "r")
         tag_map = F.create_map(*(F.lit(x) for kv in tags.items() for x in kv)) if tags else F.create_map().cast("map<string,bigint>")
         sub_map = F.create_map(*(F.lit(x) for kv in subs.items() for x in kv)) if subs else F.create_map().cast("map<string,bigint>")
         rows = fresh.select(
@@ -217,12 +220,12 @@ class Engine:
         split = rows.where("chunks is not null").select(*carried, F.posexplode("chunks").alias("ordinal", "text"), F.size("chunks").alias("many"))
         here = chunking.chunk_id(F.col("id"), F.col("ordinal"))
         given = split.select(here.alias("chunk_id"), F.col("id").alias("document_id"), "ordinal", "text", F.when(F.col("ordinal") > 0, here - 1).alias("prev"), F.when(F.col("ordinal") + 1 < F.col("many"), here + 1).alias("next"), *carried[1:])
-        made = cut.unionByName(given).withColumnRenamed("chunk_id", "id")
-        made.write.parquet(work + "-chunks")
-        made = self.spark.read.parquet(work + "-chunks")
+        written = self.store.put("chunks", cut.unionByName(given).withColumnRenamed("chunk_id", "id"))
+        made = self.store.at("chunks", written)
         self.store.commit({}, domain_id, {
-            "documents": rows, "chunks": made, "embeddings": self._embedded(made, domain.model), "document_hashes": rows.select("domain_id", "sha256", F.col("id").alias("document_id")),
+            "documents": rows, "chunks": written, "embeddings": self._embedded(made, domain.model), "document_hashes": placed.where("id is not null").select(F.lit(domain_id).alias("domain_id"), "sha256", F.col("id").alias("document_id")),
         }, base)
+        self.store.files.delete(work)
         stood, copies = placed.agg(F.count("id"), F.count_if(F.col("id").isNull())).first()
         self.counts.update(ingested=stood, duplicates=copies)
         counts = made.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
@@ -330,8 +333,11 @@ class Engine:
 
     def corpus(self, domain_ids: list[int]) -> DataFrame:
         """Chunks with their embeddings."""
-        chunks = self.table("chunks", domain_ids).withColumnRenamed("id", "chunk_id")
-        return chunks.join(self.table("embeddings", domain_ids).select("chunk_id", "embedding"), "chunk_id", "left")
+        return with_vectors(*self._parts(domain_ids))
+
+    def _parts(self, domain_ids: list[int]) -> tuple[DataFrame, DataFrame]:
+        """Chunks, and their embeddings."""
+        return self.table("chunks", domain_ids).withColumnRenamed("id", "chunk_id"), self.table("embeddings", domain_ids).select("domain_id", "chunk_id", "embedding")
 
     def queries(self, model: str, texts: list[str | None], vectors: list[list[float] | None] | None = None) -> DataFrame:
         """(query_id, text, vector): numbered from 0; a text without a vector is embedded, unless it was lately."""
@@ -361,7 +367,8 @@ class Engine:
         allowed = request_filter(labels, match_all, document_ids, subs.get(subdomain), subdomain is None or subdomain in subs, filter, self.tag_ids(domain_id))
         asked = self.queries(domain.model, [text], [vector])
         began = time.monotonic()
-        hits = search(self.corpus([domain_id]), asked, k, allowed, diversity, self.reranker, index=self.index).orderBy("rank")
+        chunks, vectors = self._parts([domain_id])
+        hits = search(chunks, asked, k, allowed, diversity, self.reranker, index=self.index, vectors=vectors).orderBy("rank")
         self.counts.update(searches=1, search_ms=int(1000 * (time.monotonic() - began)))
         return hits
 

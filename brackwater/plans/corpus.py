@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions.text import mock_embedding, tokens
 from brackwater.operators.chunking import chunks
+from brackwater.operators.sizes import build_side
 from brackwater.sources.shared import kept, spread
 
 DOMAINS = {"de": 1, "en": 2, "es": 3, "fr": 4}
@@ -18,7 +19,7 @@ DIM = 64
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, domain_id, subdomain, text, metadata, tags) of each document; one without labels has null tags."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
+    labels = build_side(spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x")))
     domain = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in DOMAINS.items()), F.lit(OTHER_DOMAIN)).cast("long")
     tags = F.array_compact(F.array(F.when(F.col("q") == 1, F.lit(1).cast("long")), F.when(F.col("x") == 1, F.lit(2).cast("long"))))
     return docs.join(labels, "doc_id", "left").select(

@@ -98,22 +98,30 @@ class Store:
         schema = TABLES[name]
         if not parts:
             return self.spark.createDataFrame([], schema)
-        found = self.spark.read.schema(schema).parquet(*(p[0] for p in parts))
-        if self.key:
-            found = found.withColumns({c: opened(F.unbase64(c), self.key, f"{name}.{c}") for c in SEALED.get(name, ())})
+        found = self.at(name, *(p[0] for p in parts))
         return found if domain_ids is None or "domain_id" not in schema.names else found.where(F.col("domain_id").isin(domain_ids))
 
-    def commit(self, changes: dict[str, DataFrame], domain_id: int | None = None, appends: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
-        """Replace tables (for a domain, of partitioned tables that domain's part) and append to others; the new version."""
+    def at(self, name: str, *paths: str) -> DataFrame:
+        """The rows of folders of a table."""
+        found = self.spark.read.schema(TABLES[name]).parquet(*paths)
+        return found.withColumns({c: opened(F.unbase64(c), self.key, f"{name}.{c}") for c in SEALED.get(name, ())}) if self.key else found
+
+    def put(self, name: str, df: DataFrame, kind: str = "append") -> str:
+        """Write rows as a folder of a table, which a commit may name later."""
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}-{kind}"
+        df = df.select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
+        if self.key:
+            df = df.withColumns({c: F.base64(sealed(F.col(c), self.key, f"{name}.{c}")) for c in SEALED.get(name, ())})
+        df.write.parquet(path)
+        return path
+
+    def commit(self, changes: dict[str, DataFrame | str], domain_id: int | None = None, appends: dict[str, DataFrame | str] | None = None, base: int | None = None) -> int:
+        """Replace tables (for a domain, of partitioned tables that domain's part) and append to others, by rows or by folders that put() wrote; the new version."""
         base = self.version() if base is None else base
-        now, tag = self.manifest(base), uuid.uuid4().hex
+        now = self.manifest(base)
         for kind, tables in (("replace", changes), ("append", appends or {})):
             for name, df in tables.items():
-                path = f"{self.root}/{name}/{tag}-{kind}"
-                df = df.select([F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
-                if self.key:
-                    df = df.withColumns({c: F.base64(sealed(F.col(c), self.key, f"{name}.{c}")) for c in SEALED.get(name, ())})
-                df.write.parquet(path)
+                path = df if isinstance(df, str) else self.put(name, df, kind)
                 part = [path, domain_id if name in PARTITIONED else None]
                 kept = now.get(name, [])
                 if kind == "replace":

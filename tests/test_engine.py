@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import os
@@ -248,3 +249,29 @@ def test_permissions(spark):
     assert [r.a for r in df.select(auth.is_admin(F.col("scopes")).alias("a")).collect()] == [False, False, False, True, False, False]
     token, digest = auth.new_token()
     assert auth.token_hash(token) == digest and len(digest) == 32
+
+
+def written_by_shuffles(spark, since=-1):
+    """(the latest stage, bytes written by shuffles of stages after a given one)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    found = {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+    return max(found, default=-1), sum(v for k, v in found.items() if k > since)
+
+
+def test_neither_ingest_nor_search_shuffles_texts(spark, engine):
+    d = engine.create_domain("d")
+    texts = [" ".join(hashlib.sha256(b"%d %d" % (k, j)).hexdigest() for j in range(150)) for k in range(40)]  # 10 KB each
+    docs = spark.createDataFrame([(k, texts[k % 38]) for k in range(40)], "n int, text string")
+    since = written_by_shuffles(spark)[0]
+    rows = engine.ingest(d, docs).collect()
+    assert {r.n: (r.document_id, r.duplicate) for r in rows} == {k: (k % 38 + 1, k >= 38) for k in range(40)}
+    assert 0 < written_by_shuffles(spark, since)[1] < 100_000  # of 390 KB of text
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = engine.search(d, texts[3][:64], filter="NOT tag:none")
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert 4 in {h.chunk_id >> 20 for h in hits.collect()}
+        assert not [line for line in plan.split("\n") if "SortMergeJoin" in line and "LeftOuter" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
